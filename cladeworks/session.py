@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -85,3 +87,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def reduce_partitions(spark: SparkSession) -> int:
     """Number of reduce partitions the cluster is set up for."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="cladeworks-zip-")  # on the driver only; Spark hands the file on
+    atexit.register(shutil.rmtree, folder, True)
+    archive = Path(folder, f"{package.name}.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    sc.addPyFile(str(archive))
