@@ -1,0 +1,48 @@
+"""Codes of k-letter runs of sequences as numpy arrays. A, C, G, T are 0..3 in either case."""
+
+from __future__ import annotations
+
+import numpy as np
+
+CODE = np.full(256, 4, np.uint8)
+for _i, _c in enumerate(b"ACGT"):
+    CODE[_c] = CODE[_c + 32] = _i
+
+
+def joined(seqs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Letter codes of all sequences, each followed by a 4, and the end of each (its 4 included)."""
+    raw = ("\n".join(seqs) + "\n").encode("latin-1", "replace")
+    ends = np.cumsum(np.fromiter((len(s) + 1 for s in seqs), np.int64, len(seqs)))
+    return CODE[np.frombuffer(raw, np.uint8)], ends
+
+
+def clean_windows(codes: np.ndarray, k: int) -> np.ndarray:
+    """For every start whether k letters from there are all A, C, G or T."""
+    bad = np.zeros(len(codes) + 1, np.int32)
+    np.cumsum(codes > 3, out=bad[1:])
+    return bad[k:] == bad[:-k] if len(codes) >= k else np.empty(0, bool)
+
+
+def kmers(codes: np.ndarray, k: int) -> np.ndarray:
+    """Code of the k letters from every start (uint64, k <= 32), by doubling; senseless where not clean."""
+    c = (codes & 3).astype(np.uint64)
+    n, size, parts, rest = len(codes), 1, [], k
+    out, have = None, 0
+    while rest:
+        if rest & 1:
+            out = c.copy() if out is None else (out[: n - have - size + 1] << np.uint64(2 * size)) | c[have : have + n - have - size + 1]
+            have += size
+        rest >>= 1
+        if rest:
+            c = (c[:-size] << np.uint64(2 * size)) | c[size:]
+            size *= 2
+    return out[: n - k + 1]
+
+
+def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
+    """Minimum of every w consecutive values, by doubling."""
+    n, size, m = len(x), 1, x
+    while size * 2 <= w:
+        m = np.minimum(m[:-size], m[size:])
+        size *= 2
+    return m[: n - w + 1] if size == w else np.minimum(m[: n - w + 1], m[w - size : w - size + n - w + 1])

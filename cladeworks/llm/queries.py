@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeworks.llm import contamination, distinct_sketch, mixing, pieces, repetition
+from cladeworks.llm import contamination, distinct_sketch, mixing, near_dup, pieces, repetition
 from cladeworks.llm.sql import ORACLES
 from cladeworks.session import Scratch, table
 
@@ -41,6 +41,21 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.natural_boundaries(pieces.split_sequences(long, "seq_no", "seq"), "seq_no")
 
 
+def _near(spark: SparkSession, d: str) -> list[tuple[str, DataFrame, DataFrame]]:
+    library = table(spark, d, "library")
+    return [(k.name, *near_dup.near_duplicates(library, "seq_no", k.name, k)) for k in (near_dup.SEQ, near_dup.HEADER)]
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    parts = [near_dup.all_pairs(links, members).select(F.lit(name).alias("field"), F.col("id_a").alias("seq_no_a"), F.col("id_b").alias("seq_no_b")) for name, links, members in _near(spark, d)]
+    return parts[0].unionByName(parts[1])
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    parts = [near_dup.groups(links, members).withColumn("field", F.lit(name)).withColumnRenamed("id", "seq_no") for name, links, members in _near(spark, d)]
+    return parts[0].unionByName(parts[1])
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return contamination.leaked_items(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
 
@@ -74,7 +89,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_distinct_counts, p1_day_overlap, p4_found, p4_pieces, p8_found, p8_items, p9_selection, p9_shares, p10_found, p10_repetition)}
+    return {f.__name__: f for f in (p1_distinct_counts, p1_day_overlap, p4_found, p4_pieces, p5_found, p5_groups, p8_found, p8_items, p9_selection, p9_shares, p10_found, p10_repetition)}
 
 
 def oracle_sql() -> dict[str, str]:
