@@ -35,13 +35,8 @@ def by_bucket(keys: np.ndarray, records: np.ndarray, buckets: int) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(at[first].astype(np.int32)), blob], ["bucket", "data"])
 
 
-def variable(keys: np.ndarray, parts: list[bytes], buckets: int) -> pa.RecordBatch:
-    """As by_bucket, for one byte string per key."""
-    return pa.RecordBatch.from_arrays([pa.array((keys % np.uint64(buckets)).astype(np.int32)), pa.array(parts, pa.binary())], ["bucket", "data"])
-
-
-def per_bucket(df: DataFrame, work: Callable[[list[bytes]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Run ``work`` on the list of byte strings of every bucket."""
+def per_bucket(df: DataFrame, work: Callable[[int, list[bytes]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Run ``work(bucket, byte strings)`` on every bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -50,11 +45,11 @@ def per_bucket(df: DataFrame, work: Callable[[list[bytes]], Iterator[pa.RecordBa
             for i, bucket in enumerate(ids.tolist()):
                 if bucket != now:
                     if held:
-                        yield from work(held)
+                        yield from work(now, held)
                     now, held = bucket, []
                 held.append(data[i].as_py())
         if held:
-            yield from work(held)
+            yield from work(now, held)
 
     n = reduce_partitions(df.sparkSession)
     return df.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)

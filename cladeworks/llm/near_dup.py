@@ -203,7 +203,7 @@ def region_pairs(data: np.ndarray, dense: int = DENSE, agree: int = AGREE) -> tu
     return both[:, 0], both[:, 1]
 
 
-def _pairs(held: list[bytes]) -> Iterator[pa.RecordBatch]:
+def _pairs(_: int, held: list[bytes]) -> Iterator[pa.RecordBatch]:
     a, b = region_pairs(np.frombuffer(b"".join(held), ENTRY))
     if len(a):
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])

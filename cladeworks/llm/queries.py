@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeworks.llm import contamination, distinct_sketch, mixing, near_dup, pieces, repetition
+from cladeworks.llm import contamination, distinct_sketch, mixing, near_dup, pieces, repetition, shared_spans
 from cladeworks.llm.sql import ORACLES
 from cladeworks.session import Scratch, table
 
@@ -56,6 +56,14 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return shared_spans.shared_spans(table(spark, d, "library"), "seq_no", "seq")
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return shared_spans.shared_shares(table(spark, d, "library"), "seq_no", "seq", p7_found(spark, d))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return contamination.leaked_items(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
 
@@ -89,7 +97,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_distinct_counts, p1_day_overlap, p4_found, p4_pieces, p5_found, p5_groups, p8_found, p8_items, p9_selection, p9_shares, p10_found, p10_repetition)}
+    return {f.__name__: f for f in (p1_distinct_counts, p1_day_overlap, p4_found, p4_pieces, p5_found, p5_groups, p7_found, p7_shares, p8_found, p8_items, p9_selection, p9_shares, p10_found, p10_repetition)}
 
 
 def oracle_sql() -> dict[str, str]:
