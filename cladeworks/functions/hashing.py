@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 _LOW = 1 << 64
 
@@ -21,7 +22,7 @@ def fmix64(x: np.ndarray) -> np.ndarray:
 
 def with_hash(df: DataFrame, column: str, name: str = "hash") -> DataFrame:
     """Append the hash of a BIGINT column as BIGINT (the same 64 bits); null stays null."""
-    schema = df.schema.add(name, "long")
+    schema = StructType([*df.schema.fields, StructField(name, LongType())])
 
     def run(batches):
         for b in batches:

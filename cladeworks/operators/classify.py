@@ -11,13 +11,14 @@ nothing; null sequences count as empty; every read of the input comes out once (
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladeworks.functions.hashing import unsigned_at_least, with_hash
 from cladeworks.functions.kmers import Scheme
 from cladeworks.operators.taxonomy import lca_of_paths
 from cladeworks.operators.tokens import token_runs
-from cladeworks.functions.hashing import unsigned_at_least, with_hash
+from cladeworks.session import Scratch
 
 MATE_BORDER, FRAME_BORDER = "|:|", "-:-"
 
@@ -79,21 +80,22 @@ def resolve(df: DataFrame, hits: str, total: str, confidence: float) -> DataFram
     return d.withColumn("candidate", F.try_element_at("_path", F.lit(-1))).withColumn("call", last["taxon"]).withColumn("clade_hits", last["n"]).drop("_path")
 
 
-def hit_list(runs: Column) -> Column:
-    """Text of a read's ordered runs (code, n): neighbours of equal code are one item; borders stand alone."""
-    cast = "array<struct<code:string,n:bigint>>"
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        item = F.struct(x["code"].alias("code"), x["n"].cast("bigint").alias("n"))
-        border = x["code"].isin("|", "-")
-        grown = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["code"].alias("code"), (last["n"] + x["n"]).alias("n"))))
-        return F.when((F.size(acc) > 0) & (last["code"] == x["code"]) & ~border, grown).otherwise(F.concat(acc, F.array(item))).cast(cast)
+def hit_lists(runs: DataFrame) -> DataFrame:
+    """``read_id, hits``: text of each read's runs (read_id, order, border, code, n).
 
-    items = F.aggregate(runs, F.array().cast(cast), step)
-    text = F.transform(items, lambda i: F.when(i["code"].isin("|", "-"), F.concat(i["code"], F.lit(":"), i["code"])).otherwise(F.concat(i["code"], F.lit(":"), i["n"].cast("string"))))
-    joined = F.array_join(text, " ")
-    return F.when(F.size(runs) == 0, F.lit("0:0")).when(F.element_at(items, -1)["code"] == "A", F.concat(joined, F.lit(" "))).otherwise(joined)
+    Neighbours of equal code become one item; ``border`` (null, "|" or "-") stands before the run it is on.
+    Runs of n 0 only carry a border. One window over the read's runs, partitioned like the gathering after it.
+    """
+    w = Window.partitionBy("read_id").orderBy("order")
+    new = F.col("border").isNotNull() | F.lag("code").over(w).isNull() | (F.lag("code").over(w) != F.col("code"))
+    t = runs.withColumn("new", new.cast("int"))
+    t = t.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    items = t.groupBy("read_id", "island").agg(F.first("code").alias("code"), F.sum("n").alias("n"), F.max("border").alias("border"))
+    mark = F.when(F.col("border").isNotNull(), F.concat("border", F.lit(":"), "border", F.lit(" "))).otherwise("")
+    text = F.rtrim(F.concat(mark, F.when(F.col("n") > 0, F.concat("code", F.lit(":"), F.col("n").cast("string"))).otherwise("")))
+    lists = items.withColumn("text", text).groupBy("read_id").agg(F.sort_array(F.collect_list(F.struct("island", "code", "text"))).alias("i"))
+    joined = F.array_join(F.transform("i", lambda x: x["text"]), " ")
+    return lists.select("read_id", F.when(F.element_at("i", -1)["code"] == "A", F.concat(joined, F.lit(" "))).otherwise(joined).alias("hits"))
 
 
 def lookup(runs: DataFrame, index: DataFrame, least_hash: int = 0) -> DataFrame:
@@ -125,17 +127,20 @@ def classify(reads: DataFrame, index: DataFrame, taxonomy: DataFrame, scheme: Sc
         raise ValueError("confidence must be within 0 and 1, min_hit_groups not negative")
     if denominator not in ("tokens", "documented"):
         raise ValueError("denominator must be tokens or documented")
-    found = lookup(token_runs(reads, scheme, translated), index, least_hash)
+    # read four times below: written once instead of scanned and joined four times
+    found = Scratch(reads.sparkSession).write(lookup(token_runs(reads, scheme, translated), index, least_hash).drop("minimizer", "skipped"), "found")
     code = F.when(F.col("ambiguous"), "A").otherwise(F.coalesce(F.col("taxon").cast("string"), F.lit("0")))
-    run = F.struct("mate", "frame", "run", code.alias("code"), F.col("n").cast("bigint").alias("n"), "taxon", (F.col("is_lookup") & F.col("taxon").isNotNull()).alias("group"))
-    per_read = found.groupBy("read_id").agg(F.sort_array(F.collect_list(run)).alias("runs"), F.sum(F.col("n").cast("bigint")).alias("n_tokens"), F.sum(F.when(F.col("ambiguous"), F.col("n")).otherwise(0).cast("bigint")).alias("n_ambiguous"), F.sum(F.when(F.col("is_lookup") & F.col("taxon").isNotNull(), 1).otherwise(0)).alias("hit_groups"))
+    group = F.col("is_lookup") & F.col("taxon").isNotNull()
+    per_read = found.groupBy("read_id").agg(F.sum(F.col("n").cast("bigint")).alias("n_tokens"), F.sum(F.when(F.col("ambiguous"), F.col("n")).otherwise(0).cast("bigint")).alias("n_ambiguous"), F.sum(F.when(group, 1).otherwise(0)).alias("hit_groups"))
+    w = Window.partitionBy("read_id").orderBy("mate", "frame", "run")
+    border = F.when(F.lag("mate").over(w) != F.col("mate"), MATE_BORDER[0]).when(F.lag("frame").over(w) != F.col("frame"), FRAME_BORDER[0])
+    texts = hit_lists(found.select("read_id", F.struct("mate", "frame", "run").alias("order"), border.alias("border"), code.alias("code"), F.col("n").cast("bigint").alias("n")))
     paths = taxonomy.select(F.col("tax_id").alias("taxon"), "path")
     counts = found.where("taxon IS NOT NULL").groupBy("read_id", "taxon").agg(F.sum(F.col("n").cast("bigint")).alias("n")).join(paths, "taxon")
     hits = counts.groupBy("read_id").agg(F.collect_list(F.struct("taxon", "n", "path")).alias("hits"))
     lengths = reads.groupBy("read_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("mate", F.coalesce(F.length("seq"), F.lit(0)).alias("n")))), lambda x: x["n"].cast("string")), "|").alias("length"), F.count("*").alias("mates"))
-    d = lengths.join(per_read, "read_id", "left").join(hits, "read_id", "left")
-    empty = F.array().cast(d.schema["runs"].dataType)
-    d = d.withColumn("runs", F.coalesce("runs", empty)).withColumn("hits", F.coalesce("hits", F.array().cast(d.schema["hits"].dataType)))
+    d = lengths.join(per_read, "read_id", "left").join(hits, "read_id", "left").join(texts.withColumnRenamed("hits", "text"), "read_id", "left")
+    d = d.withColumn("hits", F.coalesce("hits", F.array().cast(d.schema["hits"].dataType)))
     for c in ("n_tokens", "n_ambiguous", "hit_groups"):
         d = d.withColumn(c, F.coalesce(c, F.lit(0)).cast("bigint"))
     total = F.col("n_tokens")
@@ -145,29 +150,17 @@ def classify(reads: DataFrame, index: DataFrame, taxonomy: DataFrame, scheme: Sc
         total = total - F.col("n_ambiguous")
     d = resolve(d.withColumn("_total", total), "hits", "_total", confidence)
     if quick:
-        groups = F.filter("runs", lambda r: r["group"])
-        d = d.withColumn("call", F.try_element_at(groups, F.lit(max(min_hit_groups, 1)))["taxon"])
+        nth = F.row_number().over(Window.partitionBy("read_id").orderBy("mate", "frame", "run"))
+        deciding = found.where(group).withColumn("nth", nth).where(F.col("nth") == max(min_hit_groups, 1)).select("read_id", F.col("taxon").alias("quick_call"))
+        d = d.join(deciding, "read_id", "left").withColumn("call", F.col("quick_call"))
     else:
         d = d.withColumn("call", F.when(F.col("hit_groups") >= min_hit_groups, F.col("call")))
-    borders = _with_borders(F.col("runs"), translated)
-    text = F.when(F.col("call").isNotNull() & F.lit(quick), F.concat(F.col("call").cast("string"), F.lit(":Q"))).otherwise(hit_list(borders))
+    text = F.coalesce("text", F.lit("0:0"))
+    if quick:
+        text = F.when(F.col("call").isNotNull(), F.concat(F.col("call").cast("string"), F.lit(":Q"))).otherwise(text)
     return d.select("read_id", F.when(F.col("call").isNotNull(), "C").otherwise("U").alias("status"), F.col("call").alias("taxon"), "length", "n_tokens", "n_ambiguous", "hit_groups", "candidate", "clade_hits", text.alias("hits"))
 
 
-def _with_borders(runs: Column, translated: bool) -> Column:
-    """Runs (code, n) with a border item wherever the mate, or the frame of one mate, changes."""
-    cast = "array<struct<code:string,n:bigint>>"
-
-    def border(i: Column, r: Column) -> Column:
-        before = F.try_element_at(runs, i)
-        items = F.array(F.struct(r["code"].alias("code"), r["n"].alias("n")))
-        mate = F.array(F.struct(F.lit("|").alias("code"), F.lit(0).cast("bigint").alias("n")))
-        frame = F.array(F.struct(F.lit("-").alias("code"), F.lit(0).cast("bigint").alias("n")))
-        return F.when((i > 0) & (before["mate"] != r["mate"]), F.concat(mate, items)).when((i > 0) & (before["frame"] != r["frame"]), F.concat(frame, items)).otherwise(items)
-
-    return F.flatten(F.transform(runs, lambda r, i: border(i, r))).cast(cast)
-
-
 def output_lines(calls: DataFrame, taxonomy: DataFrame | None = None) -> DataFrame:
     """``read_id, line``: the five tab-separated fields; with a taxonomy the taxon is "name (taxid N)"."""
     tax = F.coalesce(F.col("taxon").cast("string"), F.lit("0"))

@@ -10,27 +10,23 @@ Policies: ``resolve-lca`` votes on the merged hits; ``lca`` takes the lowest com
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladeworks.operators.classify import hit_list, resolve
+from cladeworks.operators.classify import hit_lists, resolve
 from cladeworks.operators.taxonomy import pair_lca
 
 POLICIES = ("resolve-lca", "lca", "first")
 
 
-def parse_hits(text: Column) -> Column:
-    """Hit-list text to array<struct<code, n>>; borders have n 0."""
-    items = F.filter(F.split(F.trim(text), r"\s+"), lambda x: x != "")
-    part = F.transform(items, lambda x: F.struct(F.split_part(x, F.lit(":"), F.lit(1)).alias("code"), F.coalesce(F.try_to_number(F.split_part(x, F.lit(":"), F.lit(2)), F.lit("999999999999999")).cast("bigint"), F.lit(0)).alias("n")))
-    return F.transform(part, lambda i: F.struct(F.when(i["code"] == "", "|").otherwise(i["code"]).alias("code"), F.when(i["code"].isin("|", "-"), 0).otherwise(i["n"]).cast("bigint").alias("n")))
-
-
-def _pieces(df: DataFrame, column: str, side: str) -> DataFrame:
-    """(read_id, start, end, order, code) of the runs of one list."""
-    e = df.select("read_id", F.posexplode(column).alias("i", "r"), F.col(column).alias("all"))
-    before = F.aggregate(F.slice("all", 1, F.col("i")), F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
-    return e.select("read_id", before.alias("start"), (before + F.col("r.n")).alias("end"), F.col("i").alias(f"i_{side}"), F.col("r.code").alias(f"code_{side}"))
+def parse_hits(df: DataFrame, side: str) -> DataFrame:
+    """``read_id, i, start, n, code_<side>, border`` of the items of a hit list; borders have n 0."""
+    items = df.select("read_id", F.posexplode(F.split(F.trim("hits"), r"\s+")).alias("i", "x"))
+    code, n = F.split_part("x", F.lit(":"), F.lit(1)), F.split_part("x", F.lit(":"), F.lit(2))
+    border = F.when(F.col("x").isin("|:|", "-:-"), F.substring("x", 1, 1))
+    items = items.select("read_id", "i", code.alias(f"code_{side}"), F.when(border.isNull(), F.coalesce(n.try_cast("bigint"), F.lit(0))).otherwise(0).alias("n"), border.alias("border"))
+    before = F.sum("n").over(Window.partitionBy("read_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
+    return items.withColumn("start", F.coalesce(before, F.lit(0)))
 
 
 def merge(a: DataFrame, b: DataFrame, taxonomy: DataFrame, confidence: float = 0.0, policy: str = "resolve-lca") -> DataFrame:
@@ -40,25 +36,33 @@ def merge(a: DataFrame, b: DataFrame, taxonomy: DataFrame, confidence: float = 0
     """
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {POLICIES}")
-    x = a.select("read_id", parse_hits(F.col("hits")).alias("ha"), F.col("status").alias("sa"), F.col("taxon").alias("ta"), "length")
-    y = b.select("read_id", parse_hits(F.col("hits")).alias("hb"), F.col("status").alias("sb"), F.col("taxon").alias("tb"))
-    both = x.join(y, "read_id")
-    p, q = _pieces(both, "ha", "a"), _pieces(both.select("read_id", "hb"), "hb", "b")
-    # runs overlap where their token ranges do; borders (empty ranges) are carried from the first list
-    runs = p.where("start < end").join(q.where("start < end").withColumnsRenamed({"start": "s2", "end": "e2"}), "read_id").where((F.col("start") < F.col("e2")) & (F.col("s2") < F.col("end")))
-    runs = runs.select("read_id", F.greatest("start", "s2").alias("s"), F.least("end", "e2").alias("e"), F.col("i_a"), "code_a", "code_b")
+    x = a.select("read_id", "hits", F.col("status").alias("sa"), F.col("taxon").alias("ta"), "length")
+    y = b.select("read_id", "hits", F.col("status").alias("sb"), F.col("taxon").alias("tb"))
+    both = x.drop("hits").join(y.drop("hits"), "read_id")
+    p, q = parse_hits(x, "a"), parse_hits(y, "b")
+    # the starts of both lists' runs, in order; between starts the last code of each list holds
+    none = F.lit(None).cast("string")
+    marks = p.where("n > 0").select("read_id", "start", "code_a", none.alias("code_b"), "n").unionByName(q.where("n > 0").select("read_id", "start", none.alias("code_a"), "code_b", "n"))
+    marks = marks.groupBy("read_id", "start").agg(F.max("code_a").alias("code_a"), F.max("code_b").alias("code_b"), F.max(F.col("start") + F.col("n")).alias("reach"))
+    w = Window.partitionBy("read_id").orderBy("start")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    end = F.coalesce(F.lead("start").over(w), F.max("reach").over(Window.partitionBy("read_id")))
+    runs = marks.select("read_id", "start", F.last("code_a", True).over(upto).alias("code_a"), F.last("code_b", True).over(upto).alias("code_b"), end.alias("end"))
+    runs = runs.withColumn("n", F.col("end") - F.col("start"))
     tax = F.col("code_a").try_cast("bigint")
     runs = runs.withColumn("xa", F.nullif(tax, F.lit(0))).withColumn("xb", F.nullif(F.col("code_b").try_cast("bigint"), F.lit(0)))
     runs = pair_lca(runs, taxonomy, "xa", "xb")
-    code = F.when(tax.isNull(), F.col("code_a")).otherwise(F.coalesce(F.col("lca").cast("string"), F.lit("0")))
-    runs = runs.select("read_id", "s", "i_a", code.alias("code"), (F.col("e") - F.col("s")).alias("n"))
-    borders = p.where("start = end").select("read_id", F.col("start").alias("s"), "i_a", F.col("code_a").alias("code"), F.lit(0).cast("bigint").alias("n"))
-    ordered = runs.unionByName(borders).groupBy("read_id").agg(F.sort_array(F.collect_list(F.struct("s", "i_a", "code", "n"))).alias("runs"), F.sum("n").alias("n_tokens"))
+    # an ambiguous run stays one; it is never looked up
+    code = F.when(F.col("code_a").isNotNull() & tax.isNull(), F.col("code_a")).otherwise(F.coalesce(F.col("lca").cast("string"), F.lit("0")))
+    runs = runs.select("read_id", "start", F.lit(1).alias("i"), F.lit(None).cast("string").alias("border"), code.alias("code"), "n")
+    borders = p.where("border IS NOT NULL").select("read_id", "start", F.lit(0).alias("i"), "border", F.lit("").alias("code"), F.lit(0).cast("bigint").alias("n"))
+    listed = runs.unionByName(borders)
+    texts = hit_lists(listed.select("read_id", F.struct("start", "i").alias("order"), "border", "code", "n")).withColumnRenamed("hits", "text")
+    total = runs.groupBy("read_id").agg(F.sum("n").alias("n_tokens"))
     counts = runs.withColumn("taxon", F.col("code").try_cast("bigint")).where("taxon > 0").groupBy("read_id", "taxon").agg(F.sum("n").alias("n"))
     hits = counts.join(taxonomy.select(F.col("tax_id").alias("taxon"), "path"), "taxon").groupBy("read_id").agg(F.collect_list(F.struct("taxon", "n", "path")).alias("hits"))
-    d = both.select("read_id", "sa", "sb", "ta", "tb", "length").join(ordered, "read_id", "left").join(hits, "read_id", "left")
+    d = both.select("read_id", "sa", "sb", "ta", "tb", "length").join(total, "read_id", "left").join(hits, "read_id", "left").join(texts, "read_id", "left")
     d = d.withColumn("hits", F.coalesce("hits", F.array().cast(d.schema["hits"].dataType))).withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0)))
-    d = d.withColumn("runs", F.coalesce("runs", F.array().cast(d.schema["runs"].dataType)))
     d = resolve(d, "hits", "n_tokens", confidence)
     if policy == "lca":
         d = pair_lca(d.drop("call"), taxonomy, "ta", "tb", "call")
@@ -66,7 +70,7 @@ def merge(a: DataFrame, b: DataFrame, taxonomy: DataFrame, confidence: float = 0
         d = d.withColumn("call", F.coalesce("ta", "tb"))
     status = F.when((F.col("sa") == "C") | (F.col("sb") == "C"), "C").otherwise("U")
     taxon = F.when(status == "C", F.col("call"))
-    return d.select("read_id", status.alias("status"), taxon.alias("taxon"), F.col("call").alias("revote"), "length", "n_tokens", hit_list(F.transform("runs", lambda r: F.struct(r["code"].alias("code"), r["n"].alias("n")))).alias("hits"))
+    return d.select("read_id", status.alias("status"), taxon.alias("taxon"), F.col("call").alias("revote"), "length", "n_tokens", F.coalesce("text", F.lit("0:0")).alias("hits"))
 
 
 def merge_all(parts: list[DataFrame], taxonomy: DataFrame, confidence: float = 0.0, policy: str = "resolve-lca") -> DataFrame:

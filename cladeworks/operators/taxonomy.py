@@ -16,27 +16,35 @@ from pyspark.sql import functions as F
 
 from cladeworks.session import Scratch
 
-MAX_LEVELS = 1000
+MAX_ROUNDS = 40
 
 
 def build_taxonomy(nodes: DataFrame, names: DataFrame | None = None) -> DataFrame:
-    """From ``tax_id, parent_tax_id, rank`` and ``tax_id, name``; one join per level of the tree."""
+    """From ``tax_id, parent_tax_id, rank`` and ``tax_id, name``.
+
+    Paths grow by pointer doubling: after round i a node knows its last 2**i ancestors, so the rounds are the
+    logarithm of the depth, each one join on a table in the shared folder.
+    """
     scratch = Scratch(nodes.sparkSession)
     n = nodes.where("tax_id IS NOT NULL").groupBy("tax_id").agg(F.min("parent_tax_id").alias("parent_tax_id"), F.min("rank").alias("rank"))
     n = n.withColumn("parent_tax_id", F.when((F.col("parent_tax_id") == F.col("tax_id")) | (F.col("parent_tax_id") == 0), None).otherwise(F.col("parent_tax_id")))
     n = scratch.write(n, "nodes")
-    level = n.where("parent_tax_id IS NULL").select("tax_id", F.array("tax_id").alias("path"))
-    levels = [scratch.write(level, "level")]
-    while len(levels) < MAX_LEVELS:
-        up = levels[-1].select(F.col("tax_id").alias("parent_tax_id"), F.col("path").alias("above"))
-        level = scratch.write(n.join(up, "parent_tax_id").select("tax_id", F.concat("above", F.array("tax_id")).alias("path")), "level")
-        if level.isEmpty():
+    state = scratch.write(n.select("tax_id", F.col("parent_tax_id").alias("jump"), F.array("tax_id").alias("path")), "paths")
+    left = state.where("jump IS NOT NULL").count()
+    for _ in range(MAX_ROUNDS):
+        if not left:
+            break
+        up = state.select(F.col("tax_id").alias("jump"), F.col("jump").alias("next"), F.col("path").alias("above"))
+        # a node whose parent is absent finds nobody to join and leaves, and so does all below it
+        moved = state.where("jump IS NOT NULL").join(up, "jump").select("tax_id", F.col("next").alias("jump"), F.concat("above", "path").alias("path"))
+        new = scratch.write(state.where("jump IS NULL").unionByName(moved), "paths")
+        scratch.drop(state)
+        state = new
+        now = state.where("jump IS NOT NULL").count()
+        if now == left:  # nobody arrived and nobody left: these go round in cycles
             break
-        levels.append(level)
-    paths = levels[0]
-    for x in levels[1:]:
-        paths = paths.union(x)
-    return number_nodes(n.join(paths, "tax_id"), names)
+        left = now
+    return number_nodes(n.join(state.where("jump IS NULL").select("tax_id", "path"), "tax_id"), names)
 
 
 def number_nodes(nodes: DataFrame, names: DataFrame | None = None) -> DataFrame:
