@@ -54,16 +54,24 @@ def pair_interleaved(reads: DataFrame) -> DataFrame:
     return pair_mates(reads.where("ordinal % 2 = 0").withColumn("ordinal", n), reads.where("ordinal % 2 = 1").withColumn("ordinal", n))
 
 
-def _vote(hits: Column, paths_of: str = "path") -> Column:
-    """Candidate path: of the lowest common ancestor of the best-scoring taxa; null without hits."""
+def _vote(hits: Column) -> Column:
+    """Candidate path: of the lowest common ancestor of the best-scoring taxa; null without hits.
+
+    One fold over the scored hits keeps the best score and the common path of all that reach it.
+    """
 
     def score(h: Column) -> Column:
         return F.aggregate(hits, F.lit(0).cast("bigint"), lambda acc, x: acc + F.when(F.array_contains(h["path"], x["taxon"]), x["n"]).otherwise(0))
 
-    scored = F.transform(hits, lambda h: F.struct(score(h).alias("score"), h["path"].alias("path")))
-    best = F.array_max(F.transform(scored, lambda s: s["score"]))
-    top = F.filter(scored, lambda s: s["score"] == best)
-    return F.aggregate(F.slice(top, 2, F.greatest(F.size(top) - 1, F.lit(0))), F.try_element_at(top, F.lit(1))["path"], lambda acc, s: F.array_intersect(acc, s["path"]))
+    scored = F.transform(hits, lambda h: F.struct(score(h).alias("best"), h["path"].alias("path")))
+    kind = "struct<best:bigint,path:array<bigint>>"
+
+    def better(acc: Column, s: Column) -> Column:
+        tied = F.struct(acc["best"].alias("best"), F.array_intersect(acc["path"], s["path"]).alias("path"))
+        return F.when(s["best"] > acc["best"], s).when(s["best"] == acc["best"], tied).otherwise(acc).cast(kind)
+
+    start = F.struct(F.lit(-1).cast("bigint").alias("best"), F.array().cast("array<bigint>").alias("path")).cast(kind)
+    return F.aggregate(scored, start, better)["path"]
 
 
 def resolve(df: DataFrame, hits: str, total: str, confidence: float) -> DataFrame:
@@ -135,7 +143,7 @@ def classify(reads: DataFrame, index: DataFrame, taxonomy: DataFrame, scheme: Sc
     w = Window.partitionBy("read_id").orderBy("mate", "frame", "run")
     border = F.when(F.lag("mate").over(w) != F.col("mate"), MATE_BORDER[0]).when(F.lag("frame").over(w) != F.col("frame"), FRAME_BORDER[0])
     texts = hit_lists(found.select("read_id", F.struct("mate", "frame", "run").alias("order"), border.alias("border"), code.alias("code"), F.col("n").cast("bigint").alias("n")))
-    paths = taxonomy.select(F.col("tax_id").alias("taxon"), "path")
+    paths = taxonomy.select(F.col("tax_id").alias("taxon"), F.col("path").cast("array<bigint>").alias("path"))
     counts = found.where("taxon IS NOT NULL").groupBy("read_id", "taxon").agg(F.sum(F.col("n").cast("bigint")).alias("n")).join(paths, "taxon")
     hits = counts.groupBy("read_id").agg(F.collect_list(F.struct("taxon", "n", "path")).alias("hits"))
     lengths = reads.groupBy("read_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("mate", F.coalesce(F.length("seq"), F.lit(0)).alias("n")))), lambda x: x["n"].cast("string")), "|").alias("length"), F.count("*").alias("mates"))

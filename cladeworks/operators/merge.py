@@ -60,7 +60,7 @@ def merge(a: DataFrame, b: DataFrame, taxonomy: DataFrame, confidence: float = 0
     texts = hit_lists(listed.select("read_id", F.struct("start", "i").alias("order"), "border", "code", "n")).withColumnRenamed("hits", "text")
     total = runs.groupBy("read_id").agg(F.sum("n").alias("n_tokens"))
     counts = runs.withColumn("taxon", F.col("code").try_cast("bigint")).where("taxon > 0").groupBy("read_id", "taxon").agg(F.sum("n").alias("n"))
-    hits = counts.join(taxonomy.select(F.col("tax_id").alias("taxon"), "path"), "taxon").groupBy("read_id").agg(F.collect_list(F.struct("taxon", "n", "path")).alias("hits"))
+    hits = counts.join(taxonomy.select(F.col("tax_id").alias("taxon"), F.col("path").cast("array<bigint>").alias("path")), "taxon").groupBy("read_id").agg(F.collect_list(F.struct("taxon", "n", "path")).alias("hits"))
     d = both.select("read_id", "sa", "sb", "ta", "tb", "length").join(total, "read_id", "left").join(hits, "read_id", "left").join(texts, "read_id", "left")
     d = d.withColumn("hits", F.coalesce("hits", F.array().cast(d.schema["hits"].dataType))).withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0)))
     d = resolve(d, "hits", "n_tokens", confidence)

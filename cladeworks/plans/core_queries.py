@@ -209,8 +209,8 @@ def dust_mask(spark: SparkSession, d: str) -> DataFrame:
 def quality_mask(spark: SparkSession, d: str) -> DataFrame:
     """Letters masked when qualities repeat a fixed scale along each sequence."""
     scale = "".join(chr(33 + (i * 7) % 41) for i in range(41))
-    reads = _library(spark, d).select("seq_no", "seq", F.substring(F.repeat(F.lit(scale), 700), 1, 1).alias("q"))
-    reads = reads.select("seq_no", "seq", F.expr(f"substring(repeat('{scale.replace(chr(92), chr(92) * 2).replace(chr(39), chr(92) + chr(39))}', cast(ceil(length(seq) / 41) as int)), 1, length(seq))").alias("qual"))
+    long_enough = F.repeat(F.lit(scale), F.ceil(F.length("seq") / 41).cast("int"))
+    reads = _library(spark, d).select("seq_no", "seq", F.substring(long_enough, F.lit(1), F.length("seq")).alias("qual"))
     m = cl.mask_quality(reads, 10)
     return m.select("seq_no", (F.length("seq") - F.length(F.replace("seq", F.lit("x"), F.lit("")))).alias("n_masked"))
 

@@ -157,7 +157,7 @@ ORACLES = {
 f AS (SELECT seq_no, f AS frame, CASE WHEN f < 3 THEN substr(s, f + 1) ELSE substr(c, f - 2) END AS x, length(s) AS n FROM r, range(6) q(f)),
 c AS (SELECT seq_no, frame, CASE WHEN n >= 3 THEN length(x) // 3 ELSE 0 END AS n_aa, CASE WHEN length(x) >= 3 THEN list_transform(range(0, length(x) // 3), lambda i: substr(x, i * 3 + 1, 3)) ELSE [] END AS codons FROM f)
 SELECT seq_no, frame, n_aa, len(list_filter(codons, lambda z: z IN ('TAA', 'TAG', 'TGA'))) AS n_stop, len(list_filter(codons, lambda z: NOT regexp_full_match(z, '[ACGT]{3}'))) AS n_unknown FROM c""",
-    "quality_mask": "WITH q AS (SELECT i, (i * 7) % 41 AS v FROM range(41) r(i)), b AS (SELECT count(*) AS n FROM q WHERE v < 10) SELECT seq_no, CASE WHEN seq IS NOT NULL THEN (length(seq) // 41) * (SELECT n FROM b) + (SELECT count(*) FROM q WHERE v < 10 AND i < length(seq) % 41) + (length(regexp_replace(seq, '[^x]', '', 'g'))) * 0 END AS n_masked FROM library",
+    "quality_mask": "SELECT seq_no, len(list_filter(range(length(seq)), lambda i: (i * 7) % 41 < 10 OR substr(seq, (i + 1)::BIGINT, 1) = 'x')) AS n_masked FROM library",
     "header_ids": f"SELECT prelim_id, {_kind('s')} AS kind, {_value('s')} AS value FROM (SELECT prelim_id, trim(seqid) AS s FROM prelim_map WHERE seqid IS NOT NULL)",
     "header_scan": f"WITH e AS (SELECT unnest(string_split(header, chr(1))) AS h FROM library WHERE header IS NOT NULL), i AS (SELECT split_part(regexp_replace(h, '\\s+', ' ', 'g'), ' ', 1) AS seqid, nullif(trim(regexp_replace(h, '^\\S+\\s*', '')), '') AS header_comment FROM e WHERE h <> '') SELECT {_kind('seqid')} AS map_kind, seqid, {_value('seqid')} AS mapped_value, header_comment FROM i WHERE {_kind('seqid')} IS NOT NULL",
     "header_rewrite": "SELECT map_id, 'kraken:taxid|' || taxid || '|' || trim(seqid) AS header, 'GCF_' || lpad(map_id::VARCHAR, 9, '0') || '.2' AS assembly FROM seqid2taxid WHERE taxid <> 0 AND seqid IS NOT NULL",
