@@ -18,6 +18,8 @@ from cladeworks.operators import accessions, classify as cl, dust, index as ix,
 from cladeworks.operators.tokens import distinct_minimizers, token_runs
 from cladeworks.plans.core_sql import ORACLES
 from cladeworks.session import Scratch, table
+from cladeworks.sources.fastx import fasta_text, read_fastx
+from cladeworks.streaming.classify_stream import ClassifyService, running_counts
 
 SMALL = Scheme(k=15, l=11, spaces=2)
 PROTEIN = Scheme(k=9, l=7, spaces=0, protein=True)
@@ -413,6 +415,30 @@ def lineage_parts(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("part").agg(F.count("*").alias("n"))
 
 
+# ---- files and streams ------------------------------------------------------------------------------------
+
+
+def fasta_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The library written as FASTA text and read back by the data source, in byte ranges."""
+    folder = Scratch(spark).root + "/fasta"
+    lib = _library(spark, d).where("seq IS NOT NULL")
+    lib.select(fasta_text(F.concat_ws(" ", F.col("seq_no").cast("string"), F.lit("length"), F.length("seq").cast("string")), F.col("seq")).alias("value")).write.text(folder)
+    back = read_fastx(spark, folder, splitBytes=1 << 20)
+    return back.select(F.col("id").cast("bigint").alias("seq_no"), "comment", F.md5("seq").alias("seq_md5"))
+
+
+def stream_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Reads per taxon of the library classified as a stream."""
+    t = _taxonomy(spark, d)
+    scratch = Scratch(spark)
+    index = scratch.write(_index(spark, d, t), "index")
+    reads = scratch.write(_reads(spark, d), "reads")
+    stream = spark.readStream.schema(reads.schema).parquet(reads._cw_path)
+    service = ClassifyService(index, t, SMALL, confidence=0.1)
+    service.start(stream, scratch.root + "/stream", scratch.root + "/stream-checkpoint").awaitTermination()
+    return running_counts(index, scratch.root + "/stream")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Which taxon is each read? End to end: map, taxonomy, index, classification."""
     calls, _ = _classified(spark, d)
@@ -427,7 +453,7 @@ _QUERIES = (
     classify_reads, classify_quick, classify_paired, classify_translated, classify_report, output_lines, classified_headers, run_statistics,
     kmer_counters, kmer_sketches, merge_two_dbs,
     header_ids, header_scan, header_rewrite, sequence_text, map_accessions, map_accessions_gi, unmapped_accessions, repair_taxids, assembly_filter,
-    lineage_to_tree, lineage_members, lineage_parts,
+    lineage_to_tree, lineage_members, lineage_parts, fasta_round_trip, stream_counts,
 )
 
 

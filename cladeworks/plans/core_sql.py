@@ -169,4 +169,6 @@ SELECT seq_no, frame, n_aa, len(list_filter(codons, lambda z: z IN ('TAA', 'TAG'
     "assembly_filter": "SELECT p_partkey AS taxid, CASE p_size % 3 WHEN 0 THEN 'Complete Genome' ELSE 'CHROMOSOME' END AS level, p_name AS path FROM part WHERE p_size % 3 <> 1 AND p_size % 5 <> 0",
     "lineage_members": f"WITH {_LINEAGE} SELECT CASE WHEN sp IS NULL THEN 'genus' ELSE 'species' END AS rank, count(*) AS n FROM lin GROUP BY 1",
     "lineage_parts": f"WITH {_LINEAGE} SELECT CASE WHEN n_name IN ('FRANCE', 'CHINA', 'BRAZIL') THEN n_name ELSE 'others' END AS part, count(*) AS n FROM lin GROUP BY 1",
+    "fasta_round_trip": "SELECT seq_no, 'length ' || length(seq) AS comment, md5(seq) AS seq_md5 FROM library WHERE seq IS NOT NULL",
+    "stream_counts": _ALL + " SELECT taxon, count(*) AS reads FROM res GROUP BY 1",
 }
