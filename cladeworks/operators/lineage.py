@@ -37,7 +37,7 @@ def taxonomy_from_lineages(df: DataFrame, lineage: str, delimiter: str = ";", bi
 
 
 def lineage_map(df: DataFrame, key: str, lineage: str, taxonomy: DataFrame, delimiter: str = ";") -> DataFrame:
-    """``key, tax_id``: the deepest node of each row's lineage."""
+    """``key, tax_id``: the deepest node of each row's lineage; the root without names, no row for null."""
     names = F.filter(F.transform(F.split(F.trim(lineage), delimiter), lambda x: F.trim(x)), lambda x: x.rlike("^[a-z]__.+"))
     return df.select(key, F.array_join(names, ";").alias("path_text")).join(taxonomy.select("path_text", "tax_id"), "path_text").select(key, "tax_id")
 

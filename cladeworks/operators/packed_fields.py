@@ -3,8 +3,9 @@
 A dialect is a set of delimiters and a way of reading double quotes. Every field is parsed under each
 dialect that can matter for it; the parses are scored in bits:
 
-* a token of an entry costs -log2 of its shape's share among all tokens at that place (head or body) of the
-  corpus' parses; the counts are one distributed aggregation over a fixed alphabet of shapes;
+* a token of an entry costs -log2 of its shape's share among all tokens at that place (head or body); shapes
+  are first priced by a fixed prior, then by their counts over the whole corpus in the parses that prior
+  chooses, one distributed aggregation over a fixed alphabet of shapes;
 * a boundary costs log2 of the number of the dialect's delimiters plus one;
 * naming the dialect costs the same for all.
 
@@ -139,14 +140,28 @@ def entry_id(field: str) -> str | None:
     return m.group(1) if m else None
 
 
+#: Shape counts to begin with, for the first choice of parses and as weak prior of the counted ones.
+PRIOR = {("head", "id"): 90, ("head", "quoted_id"): 5, ("head", "word"): 5, ("body", "word"): 1000, ("body", "id"): 10, ("body", "mark"): 10, ("body", "mark_id"): 10, ("body", "quoted"): 15, ("body", "quoted_id"): 1, ("body", "half_quote"): 10}
+
+
+def bits_of(counts: dict[tuple[str, str], float]) -> dict[tuple[str, str], float]:
+    """Code lengths of the shapes at each place."""
+    bits = {}
+    for place, alphabet in (("head", HEADS), ("body", BODIES)):
+        total = sum(counts[place, s] for s in alphabet)
+        bits |= {(place, s): -log2(counts[place, s] / total) for s in alphabet}
+    return bits
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shapes of the parses that are cheapest under the prior."""
     n: Counter = Counter()
+    bits = bits_of(PRIOR)
     for b in batches:
         for text in b.column(0).to_pylist():
-            if not text:
-                continue
-            for d in candidates(text):
-                for f in d.parse(text):
+            if text:
+                d, fields = cheapest(text, bits)
+                for f in fields:
                     n.update(shapes(f, d.quotes))
     if n:
         yield pa.RecordBatch.from_pydict({"place": [p for p, _ in n], "shape": [s for _, s in n], "n": list(n.values())})
@@ -156,11 +171,7 @@ def code_lengths(df: DataFrame, field: str) -> dict[tuple[str, str], float]:
     """Bits of each (place, shape), from one aggregation whose result has at most a dozen rows."""
     counts = df.select(field).mapInArrow(_counted, "place string, shape string, n bigint").groupBy("place", "shape").agg(F.sum("n").alias("n"))
     seen = {(r.place, r.shape): r.n for r in counts.collect()}
-    bits = {}
-    for place, alphabet in (("head", HEADS), ("body", BODIES)):
-        total = sum(seen.get((place, s), 0) for s in alphabet) + len(alphabet)
-        bits |= {(place, s): -log2((seen.get((place, s), 0) + 1) / total) for s in alphabet}
-    return bits
+    return bits_of({k: n + seen.get(k, 0) for k, n in PRIOR.items()})
 
 
 def cheapest(text: str, bits: dict[tuple[str, str], float]) -> tuple[Dialect, list[str]]:
