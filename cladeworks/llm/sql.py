@@ -64,4 +64,26 @@ hot AS (SELECT doc_id, s FROM g GROUP BY ALL HAVING count(*) >= 3),
 c AS (SELECT DISTINCT doc_id, n, unnest(range(i, i + 6)) AS pos FROM g JOIN hot USING (doc_id, s))
 SELECT doc_id FROM c GROUP BY doc_id, n HAVING count(*) >= 0.25 * n"""
 
-ORACLES = {"p1_distinct_counts": _distinct_counts(), "p4_found": _GAPS, "p10_found": _WORDS}
+_SPANS = """
+WITH w AS (SELECT seq_no, i, substr(s, i + 1, 80) AS w FROM (SELECT seq_no, upper(seq) AS s, unnest(range(0, length(seq) - 79)) AS i FROM library WHERE length(seq) >= 80)),
+shared AS (SELECT w FROM w WHERE regexp_full_match(w, '[ACGT]{80}') GROUP BY w HAVING min(seq_no) <> max(seq_no)),
+hit AS (SELECT seq_no, i, CASE WHEN i <= lag(i) OVER (PARTITION BY seq_no ORDER BY i) + 80 THEN 0 ELSE 1 END AS new FROM w JOIN shared USING (w)),
+isl AS (SELECT seq_no, i, sum(new) OVER (PARTITION BY seq_no ORDER BY i) AS g FROM hit),
+spans AS (SELECT seq_no, min(i) AS span_start, max(i) + 80 - min(i) AS span_len FROM isl GROUP BY seq_no, g)"""
+
+_NEAR = """
+WITH g AS (
+  SELECT DISTINCT 'seq' AS field, seq_no, substr(s, i, 16) AS g FROM (SELECT seq_no, upper(seq) AS s, unnest(range(1, length(seq) - 14)) AS i FROM library WHERE length(seq) >= 16) WHERE regexp_full_match(substr(s, i, 16), '[ACGT]{16}')
+  UNION ALL SELECT DISTINCT 'header', seq_no, substr(s, i, 5) FROM (SELECT seq_no, lower(header) AS s, unnest(range(1, length(header) - 3)) AS i FROM library WHERE length(header) >= 5)),
+n AS (SELECT field, seq_no, count(*) AS n FROM g GROUP BY ALL),
+p AS (SELECT a.field, a.seq_no AS x, b.seq_no AS y, count(*) AS c FROM g a JOIN g b ON a.field = b.field AND a.g = b.g AND a.seq_no < b.seq_no GROUP BY ALL)
+SELECT p.field, x AS seq_no_a, y AS seq_no_b FROM p JOIN n a ON a.field = p.field AND a.seq_no = x JOIN n b ON b.field = p.field AND b.seq_no = y WHERE c >= 0.6 * (a.n + b.n - c)"""
+
+ORACLES = {
+    "p1_distinct_counts": _distinct_counts(),
+    "p4_found": _GAPS,
+    "p5_found": _NEAR,
+    "p7_found": _SPANS + " SELECT seq_no, span_start, span_len FROM spans",
+    "p7_shares": _SPANS + ", t AS (SELECT seq_no, sum(span_len)::BIGINT AS n, count(*) AS k FROM spans GROUP BY 1) SELECT l.seq_no, coalesce(length(seq), 0) AS n_letters, coalesce(n, 0) AS n_shared, coalesce(k, 0) AS n_spans, round(CASE WHEN length(seq) > 0 THEN coalesce(n, 0) / length(seq) ELSE 0 END, 6) AS shared_share FROM library l LEFT JOIN t ON t.seq_no = l.seq_no",
+    "p10_found": _WORDS,
+}
