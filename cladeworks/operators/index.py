@@ -9,7 +9,7 @@ from cladeworks.functions.columns import with_stop
 from cladeworks.functions.hashing import clear_hash_threshold, unsigned_at_least, with_hash
 from cladeworks.functions.kmers import Scheme
 from cladeworks.operators.taxonomy import lca_by_group, resolve_ends
-from cladeworks.operators.tokens import distinct_minimizers
+from cladeworks.operators.tokens import distinct_minimizers, minimizer_ends
 
 SAMPLE_OF, SAMPLE = 1024, 4
 SLACK, LOAD = 8192, 0.7
@@ -34,10 +34,9 @@ def build_index(library: DataFrame, taxa: DataFrame, taxonomy: DataFrame, scheme
     """
     known = library.join(taxa, key).join(taxonomy.select(F.col("tax_id").alias("taxon"), "pre"), "taxon")
     text = with_stop(F.col(seq)) if scheme.protein else F.col(seq)
-    mins = distinct_minimizers(known.select("pre", text.alias("_seq")), "pre", "_seq", scheme)
+    ends = minimizer_ends(known.select("pre", text.alias("_seq")), "pre", "_seq", scheme)
     if least_hash:
-        mins = with_hash(mins, "minimizer").where(unsigned_at_least("hash", least_hash)).drop("hash")
-    ends = mins.groupBy("minimizer").agg(F.min("pre").alias("lo"), F.max("pre").alias("hi"))
+        ends = with_hash(ends, "minimizer").where(unsigned_at_least("hash", least_hash)).drop("hash")
     return resolve_ends(ends, ["minimizer"], taxonomy, "taxon")
 
 

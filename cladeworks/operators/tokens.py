@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cladeworks.functions.kmers import Scheme, chunks
 from cladeworks.functions.translate import six_frames
@@ -65,18 +66,53 @@ def token_runs(reads: DataFrame, scheme: Scheme, translated: bool = False) -> Da
 
 
 def distinct_minimizers(df: DataFrame, key: str, seq: str, scheme: Scheme) -> DataFrame:
-    """``key, minimizer``: the distinct unambiguous minimizers of each row (made distinct per chunk in the scan)."""
-    from pyspark.sql import functions as F
-
+    """``key, minimizer``: the unambiguous minimizers of each row, distinct per row."""
     source = df.select(F.col(key).alias(key), F.col(seq).alias("_s")).where("_s IS NOT NULL")
     kind = source.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, part in chunks(b.column(1).to_pylist()):
-                owner, m, amb = scheme.tokens(part)
-                pairs = np.unique(np.stack([owner[~amb].astype(np.uint64), m[~amb]], axis=1), axis=0) if (~amb).any() else None
-                if pairs is not None:
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(first + pairs[:, 0].astype(np.int64))), pa.array(np.ascontiguousarray(pairs[:, 1]).view(np.int64))], [key, "minimizer"])
+                owner, m = _distinct(*scheme.tokens(part))
+                if len(owner):
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(first + owner)), pa.array(m.view(np.int64))], [key, "minimizer"])
 
     return source.mapInArrow(run, f"`{key}` {kind}, minimizer bigint")
+
+
+def _distinct(owner: np.ndarray, m: np.ndarray, amb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (sequence, minimizer) pairs; repeats next to each other go before the sort."""
+    keep = ~amb
+    keep[1:] &= (owner[1:] != owner[:-1]) | (m[1:] != m[:-1]) | amb[:-1]
+    owner, m = owner[keep], m[keep]
+    order = np.lexsort((m, owner))
+    owner, m = owner[order], m[order]
+    new = np.ones(len(m), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (m[1:] != m[:-1])
+    return owner[new], np.ascontiguousarray(m[new])
+
+
+def minimizer_ends(df: DataFrame, number: str, seq: str, scheme: Scheme) -> DataFrame:
+    """``minimizer, lo, hi``: least and greatest ``number`` (INT) of the rows that hold each minimizer.
+
+    Combined per chunk in the scan, so the shuffle carries a minimizer once per chunk, and then per key.
+    """
+    source = df.select(F.col(number).cast("int").alias("_n"), F.col(seq).alias("_s")).where("_s IS NOT NULL AND _n IS NOT NULL")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            numbers = b.column(0).to_numpy()
+            for first, part in chunks(b.column(1).to_pylist()):
+                owner, m, amb = scheme.tokens(part)
+                keep = ~amb
+                keep[1:] &= (owner[1:] != owner[:-1]) | (m[1:] != m[:-1]) | amb[:-1]
+                m, n = m[keep], numbers[first + owner[keep]]
+                if not len(m):
+                    continue
+                order = np.argsort(m, kind="stable")
+                m, n = m[order], n[order]
+                at = np.flatnonzero(np.r_[True, m[1:] != m[:-1]])
+                yield pa.RecordBatch.from_arrays([pa.array(m[at].view(np.int64)), pa.array(np.minimum.reduceat(n, at)), pa.array(np.maximum.reduceat(n, at))], ["minimizer", "lo", "hi"])
+
+    ends = source.mapInArrow(run, "minimizer bigint, lo int, hi int")
+    return ends.groupBy("minimizer").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))

@@ -17,7 +17,7 @@ from cladeworks.functions.translate import six_frames
 from cladeworks.operators import accessions, classify as cl, dust, index as ix, lineage, merge as mg, report as rp, taxonomy as tx
 from cladeworks.operators.tokens import distinct_minimizers, token_runs
 from cladeworks.plans.core_sql import ORACLES
-from cladeworks.session import Scratch, table
+from cladeworks.session import Scratch, spread, table
 from cladeworks.sources.fastx import fasta_text, read_fastx
 from cladeworks.streaming.classify_stream import ClassifyService, running_counts
 
@@ -143,7 +143,7 @@ def mpa_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _library(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "library").select("seq_no", "header", "id", "seq")
+    return spread(table(spark, d, "library").select("seq_no", "header", "id", "seq"))
 
 
 def _reads(spark: SparkSession, d: str) -> DataFrame:
@@ -152,7 +152,8 @@ def _reads(spark: SparkSession, d: str) -> DataFrame:
 
 def _taxa(spark: SparkSession, d: str, taxonomy: DataFrame, where: str = "true") -> DataFrame:
     m = table(spark, d, "seqid2taxid").where(where).where("seqid IS NOT NULL").select(F.trim("seqid").alias("seqid"), "taxid", F.col("map_id").alias("line"))
-    return ix.sequence_taxa(_library(spark, d).where("header IS NOT NULL"), m, taxonomy, "seq_no", "header")
+    headers = table(spark, d, "library").select("seq_no", "header").where("header IS NOT NULL")
+    return ix.sequence_taxa(headers, m, taxonomy, "seq_no", "header")
 
 
 def _index(spark: SparkSession, d: str, taxonomy: DataFrame, scheme: Scheme = SMALL, where: str = "true", **options) -> DataFrame:

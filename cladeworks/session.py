@@ -84,6 +84,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table scan with at least as many partitions as there are cores, for work that is heavy per byte.
+
+    A table of one small file is one partition; its rows are dealt out once. Scans of many partitions stay
+    as they are. Only for plain scans: the partitions of a plan with shuffles are not known before it runs.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def reduce_partitions(spark: SparkSession) -> int:
     """Number of reduce partitions the cluster is set up for."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
