@@ -1,8 +1,9 @@
 """Shuffling numpy records: many fixed-size records per row, as one binary value per hash bucket.
 
 A mapper turns each chunk of its input into one row per bucket; a reducer sees the buckets of its partition one
-after another and holds one of them at a time. Buckets are many times the reduce partitions, so their size
-falls as the cluster's ``spark.sql.shuffle.partitions`` is set for larger data.
+after another and holds one of them at a time. There are ``PER_PARTITION`` buckets per reduce partition, and
+one partition per ``BYTES`` of the source as the planner estimates it, at least as many as the session's
+``spark.sql.shuffle.partitions``: a bucket's size does not grow with the data.
 """
 
 from __future__ import annotations
@@ -16,11 +17,20 @@ from pyspark.sql import DataFrame
 from cladeworks.session import reduce_partitions
 
 PER_PARTITION = 8
+BYTES = 128 << 20
+MOST_PARTITIONS = 50_000
+UNKNOWN = 1 << 50
 SCHEMA = "bucket int, data binary"
 
 
-def bucket_count(df: DataFrame) -> int:
-    return reduce_partitions(df.sparkSession) * PER_PARTITION
+def partition_count(df: DataFrame) -> int:
+    """Reduce partitions for a shuffle of ``df``; the estimate reads no data.
+
+    Beyond ``UNKNOWN`` the planner guesses (rows in memory, products of joins); then the session's number holds.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    wanted = min(MOST_PARTITIONS, size // BYTES) if size < UNKNOWN else 0
+    return max(reduce_partitions(df.sparkSession), wanted)
 
 
 def by_bucket(keys: np.ndarray, records: np.ndarray, buckets: int) -> pa.RecordBatch:
@@ -35,7 +45,7 @@ def by_bucket(keys: np.ndarray, records: np.ndarray, buckets: int) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(at[first].astype(np.int32)), blob], ["bucket", "data"])
 
 
-def per_bucket(df: DataFrame, work: Callable[[int, list[bytes]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def per_bucket(df: DataFrame, work: Callable[[int, list[bytes]], Iterator[pa.RecordBatch]], schema: str, partitions: int) -> DataFrame:
     """Run ``work(bucket, byte strings)`` on every bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,5 +61,4 @@ def per_bucket(df: DataFrame, work: Callable[[int, list[bytes]], Iterator[pa.Rec
         if held:
             yield from work(now, held)
 
-    n = reduce_partitions(df.sparkSession)
-    return df.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+    return df.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cladeworks.llm.buckets import SCHEMA, bucket_count, by_bucket, per_bucket
+from cladeworks.llm.buckets import PER_PARTITION, SCHEMA, by_bucket, partition_count, per_bucket
 from cladeworks.llm.letters import clean_windows, joined, kmers
 from cladeworks.llm.words import chunks, mix
 from cladeworks.session import Scratch
@@ -240,8 +240,9 @@ def near_duplicates(df: DataFrame, key: str, text: Column | str, kind: Kind, thr
     rows = df.select(F.col(key).alias("id"), (F.col(text) if isinstance(text, str) else text).alias("text")).where("text IS NOT NULL AND id IS NOT NULL")
     rows = rows.withColumn("cls", F.xxhash64(F.expr(kind.normal)))
     members = scratch.write(rows.select("id", "cls", F.expr(kind.has_shingle).alias("in_pairs")), "members")
-    signed = _signed(rows, kind, bucket_count(df))
-    found = scratch.write(per_bucket(signed, _pairs, "a bigint, b bigint").distinct(), "pairs")
+    partitions = partition_count(rows)
+    signed = _signed(rows, kind, partitions * PER_PARTITION)
+    found = scratch.write(per_bucket(signed, _pairs, "a bigint, b bigint", partitions).distinct(), "pairs")
 
     named = found.select(F.col("a").alias("cls")).union(found.select(F.col("b").alias("cls"))).distinct()
     named = scratch.write(named, "classes")

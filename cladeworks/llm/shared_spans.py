@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeworks.llm.buckets import SCHEMA, bucket_count, by_bucket, per_bucket
+from cladeworks.llm.buckets import PER_PARTITION, SCHEMA, by_bucket, partition_count, per_bucket
 from cladeworks.llm.letters import clean_windows, joined, kmers, sliding_min
 from cladeworks.llm.words import chunks, mix, powers
 
@@ -284,9 +284,11 @@ _SPANS = "rec bigint, start bigint, len bigint"
 
 def shared_spans(df: DataFrame, key: str, seq: str) -> DataFrame:
     """``key, span_start, span_len``: maximal runs of letters covered by windows that another record has too."""
-    buckets = bucket_count(df)
     source = df.select(F.col(key).cast("bigint").alias("rec"), F.col(seq).alias("seq")).where(F.col("rec").isNotNull() & (F.length("seq") >= SPAN))
 
+    partitions = partition_count(source)
+    buckets = partitions * PER_PARTITION
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
@@ -324,8 +326,8 @@ def shared_spans(df: DataFrame, key: str, seq: str) -> DataFrame:
         if len(places):
             yield pa.RecordBatch.from_arrays([pa.array(places["rec"]), pa.array(places["start"].astype(np.int64)), pa.array((places["end"] - places["start"]).astype(np.int64))], ["rec", "start", "len"])
 
-    located = per_bucket(source.mapInArrow(cut, SCHEMA), find, SCHEMA)
-    spans = per_bucket(located, merge, _SPANS)
+    located = per_bucket(source.mapInArrow(cut, SCHEMA), find, SCHEMA, partitions)
+    spans = per_bucket(located, merge, _SPANS, partitions)
     return spans.select(F.col("rec").alias(key), F.col("start").alias("span_start"), F.col("len").alias("span_len"))
 
 
