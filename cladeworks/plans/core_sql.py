@@ -171,4 +171,10 @@ SELECT seq_no, frame, n_aa, len(list_filter(codons, lambda z: z IN ('TAA', 'TAG'
     "lineage_parts": f"WITH {_LINEAGE} SELECT CASE WHEN n_name IN ('FRANCE', 'CHINA', 'BRAZIL') THEN n_name ELSE 'others' END AS part, count(*) AS n FROM lin GROUP BY 1",
     "fasta_round_trip": "SELECT seq_no, 'length ' || length(seq) AS comment, md5(seq) AS seq_md5 FROM library WHERE seq IS NOT NULL",
     "stream_counts": _ALL + " SELECT taxon, count(*) AS reads FROM res GROUP BY 1",
+    "index_downsampled": _IDX_ALL + f", x AS (SELECT taxon, {_fmix('minimizer::UBIGINT')} AS u FROM idx) SELECT taxon, count(*) AS n FROM x WHERE u >= 9223372036854775808 GROUP BY 1",
+    "lineage_to_tree": f"""WITH {_LINEAGE}, nm AS (SELECT DISTINCT ['d__' || r_name, 'p__' || n_name, 'g__' || c_mktsegment] || CASE WHEN sp IS NULL THEN [] ELSE ['s__' || sp] END AS l FROM lin),
+p AS (SELECT DISTINCT k, l[1:k] AS l FROM (SELECT l, unnest(range(1, len(l) + 1)) AS k FROM nm)),
+q AS (SELECT k, l, array_to_string(l, ';') AS path, row_number() OVER (ORDER BY k, array_to_string(l, ';')) + 1 AS tax_id FROM p)
+SELECT q.tax_id, coalesce(u.tax_id, 1) AS parent_tax_id, CASE q.k WHEN 1 THEN 'domain' WHEN 2 THEN 'phylum' WHEN 3 THEN 'genus' ELSE 'species' END AS rank, CASE WHEN q.k = 4 THEN substr(q.l[3], 4) || ' ' || substr(q.l[4], 4) ELSE substr(q.l[q.k], 4) END AS name FROM q LEFT JOIN q u ON u.k = q.k - 1 AND u.l = q.l[1:q.k - 1]
+UNION ALL SELECT 1, 1, 'no rank', 'root'""",
 }
