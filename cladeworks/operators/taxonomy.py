@@ -22,8 +22,8 @@ MAX_ROUNDS = 40
 def build_taxonomy(nodes: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """From ``tax_id, parent_tax_id, rank`` and ``tax_id, name``.
 
-    Paths grow by pointer doubling: after round i a node knows its last 2**i ancestors, so the rounds are the
-    logarithm of the depth, each one join on a table in the shared folder.
+    Paths grow by pointer doubling, twice a round: after round i a node knows its last 4**i ancestors, so the
+    rounds are the logarithm of the depth, each one written to the shared folder.
     """
     scratch = Scratch(nodes.sparkSession)
     n = nodes.where("tax_id IS NOT NULL").groupBy("tax_id").agg(F.min("parent_tax_id").alias("parent_tax_id"), F.min("rank").alias("rank"))
@@ -34,10 +34,7 @@ def build_taxonomy(nodes: DataFrame, names: DataFrame | None = None) -> DataFram
     for _ in range(MAX_ROUNDS):
         if not left:
             break
-        up = state.select(F.col("tax_id").alias("jump"), F.col("jump").alias("next"), F.col("path").alias("above"))
-        # a node whose parent is absent finds nobody to join and leaves, and so does all below it
-        moved = state.where("jump IS NOT NULL").join(up, "jump").select("tax_id", F.col("next").alias("jump"), F.concat("above", "path").alias("path"))
-        new = scratch.write(state.where("jump IS NULL").unionByName(moved), "paths")
+        new = scratch.write(_double(_double(state)), "paths")
         scratch.drop(state)
         state = new
         now = state.where("jump IS NOT NULL").count()
@@ -47,6 +44,16 @@ def build_taxonomy(nodes: DataFrame, names: DataFrame | None = None) -> DataFram
     return number_nodes(n.join(state.where("jump IS NULL").select("tax_id", "path"), "tax_id"), names)
 
 
+def _double(state: DataFrame) -> DataFrame:
+    """Paths twice as long: each path is put behind the path of the node its jump names.
+
+    A node whose parent is absent finds nobody to join and leaves, and so does all below it.
+    """
+    up = state.select(F.col("tax_id").alias("jump"), F.col("jump").alias("next"), F.col("path").alias("above"))
+    moved = state.where("jump IS NOT NULL").join(up, "jump").select("tax_id", F.col("next").alias("jump"), F.concat("above", "path").alias("path"))
+    return state.where("jump IS NULL").unionByName(moved)
+
+
 def number_nodes(nodes: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """Depth, breadth-first and preorder numbers of nodes with paths."""
     t = nodes.withColumn("depth", F.size("path") - 1)
