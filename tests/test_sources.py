@@ -22,7 +22,7 @@ def test_fastq_and_compression(spark, tmp_path):
 
 
 def test_fasta_ranges(spark, tmp_path):
-    text = "junk\n" if False else ""
+    text = ""
     for i in range(50):
         text += f">s{i} c{i}\n" + "ACGTN" * (i % 7) + "\n" + "GG\n" * (i % 3)
     (tmp_path / "x.fa").write_text(text)
