@@ -2,13 +2,13 @@
 
 Records are sets of shingles; a pair is a link if intersection / union >= ``threshold``. Equal texts are one
 class and are compared once. Every class has a signature of min-hashes; a tree of the forest is one order of
-the signature's columns, and its regions are the runs of classes whose columns agree from the first on. A
-region of more than ``DENSE`` classes is deepened column by column until it is small enough or the kept
-columns are used up; a region of full depth is compared as a whole, so no partner is ever cut off. The
-signature bytes that travel with each entry drop most chance candidates before the exact check.
+the signature's columns, and its regions are the classes whose first columns agree. A region is compared as a
+whole, each class with each, at any size: deepening it would separate true pairs. The signature bytes that
+travel with each entry drop most chance candidates before the exact check.
 
-With trees of first depth d the chance to find a pair of similarity s is 1 - (1 - s**d)**trees: at 0.6 it is
-0.9992 for sequences (16 trees, depth 2) and 0.9995 for headers (32 trees, depth 3), more above.
+With trees of depth d the chance to share a region at similarity s is 1 - (1 - s**d)**trees: at 0.6 it is
+0.9992 for sequences (16 trees, depth 2) and 0.9995 for headers (32 trees, depth 3), more above. It does not
+depend on the number of rows. The comparisons do: a region's are the square of its classes.
 
 Defined cases: null texts are left out; texts without any shingle are in no pair; equal texts with a shingle
 are pairs of similarity 1; empty tables give no rows; ids are expected to be distinct (a repeated id would
@@ -31,7 +31,9 @@ from cladeworks.llm.words import chunks, mix
 from cladeworks.session import Scratch
 
 SIG = 24
+#: Regions of more classes are compared in tiles of TILE x TILE pairs, smaller ones many at once.
 DENSE = 128
+TILE = 1024
 #: Signature bytes that must agree (of SIG); a pair of similarity 0.6 has fewer with chance 0.002 per tree.
 AGREE = 8
 #: Classes named by candidates are broadcast up to this number (16 bytes each), else joined by a shuffle.
@@ -165,27 +167,23 @@ def _signed(df: DataFrame, kind: Kind, buckets: int) -> DataFrame:
     return df.select("cls", "text").mapInArrow(run, SCHEMA)
 
 
-def region_pairs(data: np.ndarray, dense: int = DENSE, agree: int = AGREE) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs (smaller class, larger class) of the regions in one bucket's entries."""
-    sig = np.ascontiguousarray(data["sig"]).view(np.uint8).reshape(-1, SIG)
-    order = np.lexsort((data["cls"], *[sig[:, j] for j in range(SIG - 1, -1, -1)], data["key"]))
-    key, cls, sig = data["key"][order], data["cls"][order], sig[order]
-    # a class met in several tasks is there several times with equal bytes
-    new = np.r_[True, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])]
-    key, cls, sig = key[new], cls[new], sig[new]
-    cut = np.r_[True, key[1:] != key[:-1]]
-    for depth in range(SIG):
-        starts = np.flatnonzero(cut)
-        n = np.diff(np.r_[starts, len(cut)])
-        big = np.repeat(n > dense, n)
-        if not big.any():
-            break
-        cut |= big & np.r_[True, sig[1:, depth] != sig[:-1, depth]]
-    region = np.cumsum(cut) - 1
-    n = np.bincount(region)
-    keep = n[region] > 1
-    region, cls, sig = region[keep], cls[keep], sig[keep]
-    out_a, out_b = [], []
+def _tile_pairs(cls: np.ndarray, sig: np.ndarray, agree: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of classes of one region with ``agree`` equal signature bytes, tile by tile."""
+    col = np.ascontiguousarray(sig.T)
+    for i in range(0, len(cls), TILE):
+        for j in range(i, len(cls), TILE):
+            x, y = col[:, i : i + TILE], col[:, j : j + TILE]
+            n = np.zeros((x.shape[1], y.shape[1]), np.uint8)
+            for k in range(SIG):
+                n += x[k][:, None] == y[k][None, :]
+            p, q = np.nonzero(n >= agree)
+            if i == j:
+                p, q = p[p < q], q[p < q]
+            yield cls[i + p], cls[j + q]
+
+
+def _close_pairs(region: np.ndarray, cls: np.ndarray, sig: np.ndarray, agree: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same for many small regions at once."""
     step = 1
     at = np.arange(len(region))
     while len(at):
@@ -193,20 +191,43 @@ def region_pairs(data: np.ndarray, dense: int = DENSE, agree: int = AGREE) -> tu
         at = at[region[at] == region[at + step]]
         for part in np.array_split(at, max(1, len(at) // 200_000)):
             same = (sig[part] == sig[part + step]).sum(axis=1) >= agree
-            out_a.append(cls[part[same]])
-            out_b.append(cls[part[same] + step])
+            yield cls[part[same]], cls[part[same] + step]
         step += 1
-    if not out_a:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    a, b = np.concatenate(out_a), np.concatenate(out_b)
-    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-    return both[:, 0], both[:, 1]
+
+
+def candidates(data: np.ndarray, dense: int = DENSE, agree: int = AGREE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs (smaller class, larger class) of the regions in one bucket's entries: every pair of a region
+    is compared, whatever its size. A pair met in several regions comes several times."""
+    sig = np.ascontiguousarray(data["sig"]).view(np.uint8).reshape(-1, SIG)
+    order = np.lexsort((data["cls"], data["key"]))
+    key, cls, sig = data["key"][order], data["cls"][order], sig[order]
+    # a class met in several tasks is there several times with equal bytes
+    new = np.r_[True, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])]
+    key, cls, sig = key[new], cls[new], sig[new]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    n = np.diff(np.r_[starts, len(key)])
+    size = np.repeat(n, n)
+    small = (size > 1) & (size <= dense)
+    yield from _close_pairs(key[small], cls[small], sig[small], agree)
+    for first, many in zip(starts[n > dense].tolist(), n[n > dense].tolist()):
+        yield from _tile_pairs(cls[first : first + many], sig[first : first + many], agree)
+
+
+def region_pairs(data: np.ndarray, dense: int = DENSE, agree: int = AGREE) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct candidate pairs of one bucket's entries."""
+    none = np.empty(0, np.int64)
+    parts = [(none, none), *candidates(data, dense, agree)]
+    a, b = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)]
+    return a[new], b[new]
 
 
 def _pairs(_: int, held: list[bytes]) -> Iterator[pa.RecordBatch]:
-    a, b = region_pairs(np.frombuffer(b"".join(held), ENTRY))
-    if len(a):
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+    for a, b in candidates(np.frombuffer(b"".join(held), ENTRY)):
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
 def _similarity(kind: Kind):

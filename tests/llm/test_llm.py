@@ -188,6 +188,43 @@ def test_dense_regions_lose_no_equal_pair():
     assert len(a) == n * (n - 1) // 2
 
 
+def _family(n, seed=11):
+    """n different headers, edited copies of one."""
+    rng = random.Random(seed)
+    words = [f"w{i}ord" for i in range(80)]
+    base = [rng.choice(words) for _ in range(30)]
+    out = set()
+    while len(out) < n:
+        t = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            t[rng.randrange(30)] = rng.choice(words)
+        out.add(" ".join(t))
+    return sorted(out)
+
+
+def _similarities(texts):
+    sets = [ND.text_shingles(t) for t in texts]
+    place = {g: i for i, g in enumerate(sorted(set().union(*sets)))}
+    m = np.zeros((len(texts), len(place)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [place[g] for g in s]] = 1
+    both = m @ m.T
+    n = m.sum(axis=1)
+    return np.triu(both / (n[:, None] + n[None, :] - both), 1)
+
+
+def test_a_large_family_keeps_its_pairs():
+    texts = _family(1000)
+    sim = _similarities(texts)
+    want = sim >= 0.6
+    table, some = ND.text_signatures(texts, ND.HEADER.trees * ND.HEADER.depth)
+    got = np.zeros_like(want)
+    for _, rec in ND.entries(np.arange(len(texts)), table, ND.HEADER):
+        got[ND.region_pairs(rec)] = True
+    assert some.all() and ((sim > 0.6) & (sim < 0.7)).sum() > 1000
+    assert (want & got).sum() >= 0.999 * want.sum()
+
+
 def test_components(spark):
     from cladeworks.session import Scratch
 
