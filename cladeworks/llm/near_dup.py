@@ -8,7 +8,8 @@ travel with each entry drop most chance candidates before the exact check.
 
 With trees of depth d the chance to share a region at similarity s is 1 - (1 - s**d)**trees: at 0.6 it is
 0.9992 for sequences (16 trees, depth 2) and 0.9995 for headers (32 trees, depth 3), more above. It does not
-depend on the number of rows. The comparisons do: a region's are the square of its classes.
+depend on the number of rows. The comparisons do: a region's are the square of its classes. Regions of more than
+``BLOCK`` classes are cut into blocks, and the pairs of blocks are dealt to all tasks.
 
 Defined cases: null texts are left out; texts without any shingle are in no pair; equal texts with a shingle
 are pairs of similarity 1; empty tables give no rows; ids are expected to be distinct (a repeated id would
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cladeworks.llm.buckets import PER_PARTITION, SCHEMA, by_bucket, partition_count, per_bucket
+from cladeworks.llm.buckets import MOST_PARTITIONS, PER_PARTITION, SCHEMA, by_bucket, partition_count, per_bucket
 from cladeworks.llm.letters import clean_windows, joined, kmers
 from cladeworks.llm.words import chunks, mix
 from cladeworks.session import Scratch
@@ -34,6 +35,10 @@ SIG = 24
 #: Regions of more classes are compared in tiles of TILE x TILE pairs, smaller ones many at once.
 DENSE = 128
 TILE = 1024
+#: Regions of more classes are cut into blocks and every pair of blocks is a record of its own, dealt to all tasks.
+BLOCK = 16_384
+PIECE = 512
+BLOCK_BYTES = 16 << 20
 #: Signature bytes that must agree (of SIG); a pair of similarity 0.6 has fewer with chance 0.002 per tree.
 AGREE = 8
 #: Classes named by candidates are broadcast up to this number (16 bytes each), else joined by a shuffle.
@@ -167,19 +172,23 @@ def _signed(df: DataFrame, kind: Kind, buckets: int) -> DataFrame:
     return df.select("cls", "text").mapInArrow(run, SCHEMA)
 
 
-def _tile_pairs(cls: np.ndarray, sig: np.ndarray, agree: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of classes of one region with ``agree`` equal signature bytes, tile by tile."""
-    col = np.ascontiguousarray(sig.T)
-    for i in range(0, len(cls), TILE):
-        for j in range(i, len(cls), TILE):
-            x, y = col[:, i : i + TILE], col[:, j : j + TILE]
-            n = np.zeros((x.shape[1], y.shape[1]), np.uint8)
+def _tile_pairs(left: np.ndarray, right: np.ndarray | None, agree: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of entries of one region with ``agree`` equal signature bytes, tile by tile: of left with right, or of
+    left with itself."""
+    same = right is None
+    right = left if same else right
+    x, y = (np.ascontiguousarray(np.ascontiguousarray(e["sig"]).view(np.uint8).reshape(-1, SIG).T) for e in (left, right))
+    for i in range(0, len(left), TILE):
+        for j in range(i if same else 0, len(right), TILE):
+            p, q = x[:, i : i + TILE], y[:, j : j + TILE]
+            n = np.zeros((p.shape[1], q.shape[1]), np.uint8)
             for k in range(SIG):
-                n += x[k][:, None] == y[k][None, :]
-            p, q = np.nonzero(n >= agree)
-            if i == j:
-                p, q = p[p < q], q[p < q]
-            yield cls[i + p], cls[j + q]
+                n += p[k][:, None] == q[k][None, :]
+            u, v = np.nonzero(n >= agree)
+            if same and i == j:
+                u, v = u[u < v], v[u < v]
+            a, b = left["cls"][i + u], right["cls"][j + v]
+            yield np.minimum(a, b), np.maximum(a, b)
 
 
 def _close_pairs(region: np.ndarray, cls: np.ndarray, sig: np.ndarray, agree: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -195,22 +204,25 @@ def _close_pairs(region: np.ndarray, cls: np.ndarray, sig: np.ndarray, agree: in
         step += 1
 
 
-def candidates(data: np.ndarray, dense: int = DENSE, agree: int = AGREE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def candidates(data: np.ndarray, dense: int = DENSE, agree: int = AGREE, block: int | None = None, over: list[np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Candidate pairs (smaller class, larger class) of the regions in one bucket's entries: every pair of a region
-    is compared, whatever its size. A pair met in several regions comes several times."""
-    sig = np.ascontiguousarray(data["sig"]).view(np.uint8).reshape(-1, SIG)
-    order = np.lexsort((data["cls"], data["key"]))
-    key, cls, sig = data["key"][order], data["cls"][order], sig[order]
+    is compared, whatever its size. A pair met in several regions comes several times. Regions of more than
+    ``block`` classes are put into ``over`` instead."""
+    data = data[np.lexsort((data["cls"], data["key"]))]
     # a class met in several tasks is there several times with equal bytes
-    new = np.r_[True, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])]
-    key, cls, sig = key[new], cls[new], sig[new]
+    data = data[np.r_[True, (data["key"][1:] != data["key"][:-1]) | (data["cls"][1:] != data["cls"][:-1])]]
+    key = data["key"]
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     n = np.diff(np.r_[starts, len(key)])
     size = np.repeat(n, n)
-    small = (size > 1) & (size <= dense)
-    yield from _close_pairs(key[small], cls[small], sig[small], agree)
+    small = data[(size > 1) & (size <= dense)]
+    yield from _close_pairs(small["key"], small["cls"], np.ascontiguousarray(small["sig"]).view(np.uint8).reshape(-1, SIG), agree)
     for first, many in zip(starts[n > dense].tolist(), n[n > dense].tolist()):
-        yield from _tile_pairs(cls[first : first + many], sig[first : first + many], agree)
+        part = data[first : first + many]
+        if block is not None and many > block:
+            over.append(part)
+        else:
+            yield from _tile_pairs(part, None, agree)
 
 
 def region_pairs(data: np.ndarray, dense: int = DENSE, agree: int = AGREE) -> tuple[np.ndarray, np.ndarray]:
@@ -224,10 +236,64 @@ def region_pairs(data: np.ndarray, dense: int = DENSE, agree: int = AGREE) -> tu
     return a[new], b[new]
 
 
-def _pairs(_: int, held: list[bytes]) -> Iterator[pa.RecordBatch]:
-    for a, b in candidates(np.frombuffer(b"".join(held), ENTRY)):
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+FOUND = "a bigint, b bigint, region bigint, block int, blocks int, data binary"
+
+
+def _pairs(block: int, dense: int):
+    """Per bucket: its pairs, and the regions of more than ``block`` classes in pieces of blocks."""
+
+    def run(_: int, held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        over: list[np.ndarray] = []
+        for a, b in candidates(np.frombuffer(b"".join(held), ENTRY), dense, AGREE, block, over):
+            if len(a):
+                none = [pa.nulls(len(a), t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *none], ["a", "b", "region", "block", "blocks", "data"])
+        for part in over:
+            region, blocks = int(part["key"][:1].view("<i8")[0]), -(-len(part) // block)
+            for i in range(blocks):
+                own = part[i * block : (i + 1) * block]
+                cut = [own[j : j + PIECE].tobytes() for j in range(0, len(own), PIECE)]
+                none = pa.nulls(len(cut), pa.int64())
+                same = [pa.array([x] * len(cut), t) for x, t in ((region, pa.int64()), (i, pa.int32()), (blocks, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([none, none, *same, pa.array(cut, pa.binary())], ["a", "b", "region", "block", "blocks", "data"])
+
+    return run
+
+
+def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of the blocks ``lo`` and ``hi`` of a region, from rows sorted by region, lo and hi."""
+
+    def compare(held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
+        left, *right = (np.frombuffer(b"".join(held[i]), ENTRY) for i in sorted(held))
+        for a, b in _tile_pairs(left, right[0] if right else None, AGREE):
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    now, held = None, {}
+    for batch in batches:
+        keys = zip(*(batch.column(i).to_pylist() for i in range(4)))
+        for i, (region, lo, hi, block) in enumerate(keys):
+            if (region, lo, hi) != now:
+                if held:
+                    yield from compare(held)
+                now, held = (region, lo, hi), {}
+            held.setdefault(block, []).append(batch.column(4)[i].as_py())
+    if held:
+        yield from compare(held)
+
+
+def _all_found(stage: DataFrame, partitions: int) -> DataFrame:
+    """Pairs a, b of the buckets and of the regions in blocks."""
+    pairs = stage.where("data IS NULL").select("a", "b")
+    pieces = stage.where("data IS NOT NULL")
+    size = pieces.agg(F.sum(F.length("data").cast("bigint") * F.col("blocks"))).first()[0]
+    if size:
+        both = pieces.select("region", "block", "data", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+        both = both.select("region", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "data")
+        most = max(partitions, min(MOST_PARTITIONS, size // BLOCK_BYTES))
+        sorted_ = both.repartition(most, "region", "lo", "hi").sortWithinPartitions("region", "lo", "hi")
+        pairs = pairs.unionByName(sorted_.mapInArrow(_cross, "a bigint, b bigint"))
+    return pairs.distinct()
 
 
 def _similarity(kind: Kind):
@@ -254,7 +320,7 @@ def _similarity(kind: Kind):
     return run
 
 
-def near_duplicates(df: DataFrame, key: str, text: Column | str, kind: Kind, threshold: float = 0.6) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(df: DataFrame, key: str, text: Column | str, kind: Kind, threshold: float = 0.6, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(links, members): links ``a, b, similarity`` between classes of equal text, and ``id, cls, in_pairs`` of
     every record; ``in_pairs`` is false for texts without a shingle."""
     scratch = Scratch(df.sparkSession)
@@ -263,7 +329,9 @@ def near_duplicates(df: DataFrame, key: str, text: Column | str, kind: Kind, thr
     members = scratch.write(rows.select("id", "cls", F.expr(kind.has_shingle).alias("in_pairs")), "members")
     partitions = partition_count(rows)
     signed = _signed(rows, kind, partitions * PER_PARTITION)
-    found = scratch.write(per_bucket(signed, _pairs, "a bigint, b bigint", partitions).distinct(), "pairs")
+    stage = scratch.write(per_bucket(signed, _pairs(block, min(DENSE, block)), FOUND, partitions), "regions")
+    found = scratch.write(_all_found(stage, partitions), "pairs")
+    scratch.drop(stage)
 
     named = found.select(F.col("a").alias("cls")).union(found.select(F.col("b").alias("cls"))).distinct()
     named = scratch.write(named, "classes")

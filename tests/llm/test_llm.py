@@ -225,6 +225,34 @@ def test_a_large_family_keeps_its_pairs():
     assert (want & got).sum() >= 0.999 * want.sum()
 
 
+def test_headers_of_stock_phrases_keep_their_pairs():
+    rng = random.Random(5)
+    code = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    name = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    texts = []
+    for _ in range(1200):
+        who = name(14)
+        for _ in range(2):
+            texts.append(f"kraken:taxid|{code(4)}|zx{code(4)}.1 {who} strain isolated from {name(10)}, complete sequence, whole genome shotgun sequence")
+    sim = _similarities(texts)
+    want = sim >= 0.6
+    table, _ = ND.text_signatures(texts, ND.HEADER.trees * ND.HEADER.depth)
+    got, largest = np.zeros_like(want), 0
+    for key, rec in ND.entries(np.arange(len(texts)), table, ND.HEADER):
+        got[ND.region_pairs(rec)] = True
+        largest = max(largest, np.unique(key, return_counts=True)[1].max())
+    assert largest > 4 * ND.DENSE and want.sum() > 200
+    assert (want & got).sum() >= 0.99 * want.sum()
+
+
+def test_regions_in_blocks(spark):
+    texts = _family(150)
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(_similarities(texts) >= 0.6))}
+    df = spark.createDataFrame(list(enumerate(texts)), "k bigint, header string")
+    got = {(r.id_a, r.id_b) for r in ND.all_pairs(*ND.near_duplicates(df, "k", "header", ND.HEADER, block=16)).collect()}
+    assert got <= want and len(got) >= 0.999 * len(want)
+
+
 def test_components(spark):
     from cladeworks.session import Scratch
 
