@@ -96,8 +96,13 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetitive(p10_repetition(spark, d), "doc_id")
 
 
+def p10_rules(spark: SparkSession, d: str) -> DataFrame:
+    """What expectation-maximisation holds of each rule, and whether it came to rest."""
+    return repetition.rule_accuracies(table(spark, d, "documents"), "doc_id", "text")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_distinct_counts, p1_day_overlap, p4_found, p4_pieces, p5_found, p5_groups, p7_found, p7_shares, p8_found, p8_items, p9_selection, p9_shares, p10_found, p10_repetition)}
+    return {f.__name__: f for f in (p1_distinct_counts, p1_day_overlap, p4_found, p4_pieces, p5_found, p5_groups, p7_found, p7_shares, p8_found, p8_items, p9_selection, p9_shares, p10_found, p10_repetition, p10_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -424,9 +424,26 @@ def test_em_finds_the_accurate_rule():
     n = Counter()
     for _ in range(5000):
         bad = random.random() < 0.15
-        votes = [bad if random.random() < p else (not bad) for p in (0.97, 0.85, 0.8, 0.75, 0.7)]
-        n["".join("2" if random.random() < 0.2 else str(int(v)) for v in votes)] += 1
-    prior, accuracy, posterior = RP.fit(dict(n))
-    assert abs(prior - 0.15) < 0.05 and accuracy["spans"][0] > accuracy["vocabulary"][0]
-    assert posterior["11111"] > 0.95 and posterior["00000"] < 0.05
-    assert RP.fit({})[2] == {}
+        votes = [bad and random.random() < 0.9] + [bad if random.random() < p else (not bad) for p in (0.93, 0.85, 0.75, 0.7)]
+        n["".join(str(int(v)) if i == 0 or random.random() < 0.8 else "2" for i, v in enumerate(votes))] += 1
+    found = RP.fit(dict(n))
+    assert found.converged and found.rounds < RP.ROUNDS
+    assert abs(found.prior - 0.15) < 0.03 and abs(found.accuracy["spans"][0] - 0.9) < 0.05
+    assert abs(found.accuracy["lines"][0] - 0.93) < 0.05 and found.accuracy["lines"][1] > found.accuracy["vocabulary"][1]
+    assert found.posterior["11111"] > 0.95 and found.posterior["00000"] < 0.05
+    assert RP.fit({}).posterior == {}
+
+
+def test_strong_vote_is_never_outvoted():
+    # every pattern against it, in a corpus where repetition is as rare as the prior allows
+    found = RP.fit({"10000": 1, "00000": 10**9, "20000": 10**6})
+    assert found.posterior["10000"] >= RP.LIKELY
+    found = RP.fit({"1" + f"{x:04b}": 1 for x in range(16)} | {"00000": 10**7})
+    assert all(p >= RP.LIKELY for v, p in found.posterior.items() if v[0] == "1")
+
+
+def test_weak_rules_decide_where_the_measure_abstains(spark):
+    df = spark.createDataFrame([(i, f"word{i} other{i} plain{i} text{i} of{i} mail{i} nobody{i} wrote{i} twice{i} in{i} one{i} day{i}") for i in range(60)] + [(100 + i, "buy now cheap. " * 40) for i in range(20)], "doc_id bigint, text string")
+    rules = {r.rule: r for r in RP.rule_accuracies(df, "doc_id", "text").collect()}
+    assert rules["spans"].n_for == 20 and rules["spans"].converged and abs(rules["spans"].prior - 0.25) < 0.05
+    assert {r.doc_id for r in RP.repetition(df, "doc_id", "text").where(f"posterior >= {RP.LIKELY}").collect()} == set(range(100, 120))
