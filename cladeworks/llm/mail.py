@@ -17,7 +17,6 @@ _not_base64 = re.compile(r"[^A-Za-z0-9+/]+")
 _block_tag = re.compile(r"<(?:!--.*?--|/?(?:p|br|div|td|tr|th|table|li|ul|ol|h[1-6]|html|body|head|hr|blockquote|pre)\b[^>]*)>", re.I | re.S)
 _style = re.compile(r"<(style|script)\b.*?</\1\s*>", re.I | re.S)
 _tag = re.compile(r"</?[a-z][^<>]*>", re.I)
-MAX_DEPTH = 20
 
 
 def _decode(data: bytes, charset: str) -> str:
@@ -45,8 +44,8 @@ def _encoded_word(m: re.Match) -> str:
     return _decode(raw, charset.partition("*")[0])
 
 
-def _part(text: str, outer: bool, depth: int, out: list[str]) -> None:
-    """Append the visible segments of one entity (headers, blank line, body)."""
+def _part(text: str, outer: bool, out: list[str]) -> list[tuple[str, bool]]:
+    """Append the visible segments of one entity (headers, blank line, body); the entities inside it, if any."""
     if text.startswith("\n"):
         head, body = "", text[1:]
     else:
@@ -57,20 +56,19 @@ def _part(text: str, outer: bool, depth: int, out: list[str]) -> None:
     if outer and head:
         out.append(_word.sub(_encoded_word, head) if "=?" in head else head)
     kind = m.group(1).strip().lower() if (m := _type.search(head)) else "text/plain"
-    if kind.startswith("multipart/") and depth < MAX_DEPTH and (m := _boundary.search(head)):
+    if kind.startswith("multipart/") and (m := _boundary.search(head)):
         line = "--" + (m.group(1) or m.group(2) or "").strip()
         pieces = re.split(rf"(?:^|\n){re.escape(line)}(--)?[ \t]*(?=\n|$)", body)
         # [preamble, end mark, part, end mark, part, ...]
         if len(pieces) > 1:
+            inside = []
             for ended, piece in zip(pieces[1::2], pieces[2::2]):
                 if ended:
                     break
-                _part(piece[1:] if piece.startswith("\n") else piece, False, depth + 1, out)
-            return
+                inside.append((piece[1:] if piece.startswith("\n") else piece, False))
+            return inside
     elif not (kind.startswith("text/") or "/" not in kind):
-        if kind == "message/rfc822" and depth < MAX_DEPTH:
-            _part(body, True, depth + 1, out)
-        return
+        return [(body, True)] if kind == "message/rfc822" else []
     how = m.group(1).lower() if (m := _encoding.search(head)) else ""
     if how in ("base64", "quoted-printable"):
         charset = m.group(1) if (m := _charset.search(head)) else "utf-8"
@@ -82,6 +80,7 @@ def _part(text: str, outer: bool, depth: int, out: list[str]) -> None:
     if kind == "text/html":
         body = html.unescape(_tag.sub("", _block_tag.sub("\n", _style.sub("\n", body))))
     out.append(body)
+    return []
 
 
 def visible_segments(raw: str | None) -> list[str]:
@@ -94,5 +93,8 @@ def visible_segments(raw: str | None) -> list[str]:
         return []
     text = raw.replace("\r\n", "\n").replace("\r", "\n") if "\r" in raw else raw
     out: list[str] = []
-    _part(text, True, 0, out)
+    # a stack, not recursion: parts may be nested to any depth
+    left = [(text, True)]
+    while left:
+        left += reversed(_part(*left.pop(), out))
     return out

@@ -68,6 +68,12 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return contamination.leaked_items(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
 
 
+def p8_containment(spark: SparkSession, d: str) -> DataFrame:
+    """Every candidate of the search: exact and estimated share of the item's shingles that stand in the mail."""
+    found = contamination.contained_items(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+    return found.withColumn("containment", F.round(F.col("shared") / F.col("item_shingles"), 6))
+
+
 def p8_items(spark: SparkSession, d: str) -> DataFrame:
     """For each item the number of documents it leaked into, 0 included."""
     n = p8_found(spark, d).groupBy("item_id").agg(F.count("*").alias("n_docs"))
@@ -102,7 +108,7 @@ def p10_rules(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_distinct_counts, p1_day_overlap, p4_found, p4_pieces, p5_found, p5_groups, p7_found, p7_shares, p8_found, p8_items, p9_selection, p9_shares, p10_found, p10_repetition, p10_rules)}
+    return {f.__name__: f for f in (p1_distinct_counts, p1_day_overlap, p4_found, p4_pieces, p5_found, p5_groups, p7_found, p7_shares, p8_found, p8_containment, p8_items, p9_selection, p9_shares, p10_found, p10_repetition, p10_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

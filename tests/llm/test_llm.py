@@ -318,6 +318,10 @@ def test_mail():
     assert visible_segments("no headers here\n\nbody") == ["no headers here\n\nbody"]
     assert "kept" in visible_segments("A: b\nContent-Type: multipart/mixed; boundary=x\n\nkept")[1]
     assert visible_segments("A: b\nContent-Transfer-Encoding: base64\n\n!!!")
+    deep = "Content-Type: text/plain\n\nat the bottom"
+    for i in range(1500):
+        deep = f"Content-Type: multipart/mixed; boundary=b{i}x\n\n--b{i}x\n{deep}\n--b{i}x--"
+    assert visible_segments("A: b\n" + deep)[-1] == "at the bottom"
 
 
 def test_leaks(spark):
@@ -338,13 +342,53 @@ def test_leaks(spark):
     want |= {(102, i) for d, i in want if d == 0}
     x = spark.createDataFrame(rows, "doc_id bigint, text string, item_id int")
     y = spark.createDataFrame([(i, None if t is None else " ".join(t)) for i, t in items], "item_id bigint, text string")
-    for limit in (CO.BROADCAST_PASSAGES, 0):
-        got = CO.leaked_items(x, "doc_id", "text", y, "item_id", "text", broadcast_passages=limit)
+    for limit in (CO.BROADCAST_LETTERS, 0):
+        got = CO.leaked_items(x, "doc_id", "text", y, "item_id", "text", broadcast_letters=limit)
         assert {tuple(r) for r in got.collect()} == want
+        exact = {(r.doc_id, r.item_id): (r.shared, r.item_shingles) for r in CO.contained_items(x, "doc_id", "text", y, "item_id", "text", broadcast_letters=limit).collect()}
+        five = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        for (d, i), n in exact.items():
+            a, b = five(dict(docs).get(d, docs[0][1])), five(dict(items)[i])
+            assert n == (len(a & b), len(b))
     assert CO.leaked_items(x.where("false"), "doc_id", "text", y, "item_id", "text").count() == 0
     assert CO.leaked_items(x, "doc_id", "text", y.where("false"), "item_id", "text").count() == 0
 
 
+def test_passages_that_repeat_themselves(spark):
+    same, two = "ha " * 12, "a b " * 20
+    x = spark.createDataFrame([(1, "H: x\n\n" + "u v w " * 50 + same), (2, "H: x\n\nha ha"), (3, "H: x\n\n" + two)], "doc_id bigint, text string")
+    y = spark.createDataFrame([(7, same), (8, two + "and more words than that in this item")], "item_id bigint, text string")
+    for limit in (CO.BROADCAST_LETTERS, 0):
+        assert {tuple(r) for r in CO.leaked_items(x, "doc_id", "text", y, "item_id", "text", broadcast_letters=limit).collect()} == {(1, 7), (3, 8)}
+
+
+def test_containment_recall_per_size_class():
+    """Least leaks (12 words of a 70-word item) in documents of every size class, found by the bands alone."""
+    random.seed(11)
+    items = [" ".join(f"i{n}w{random.randrange(10**6)}" for _ in range(70)) for n in range(30)]
+    index = CO.ItemIndex(list(range(30)), items, CO.SPAN, CO.SHINGLE)
+    found = bins = total = 0
+    for size in (13, 20, 40, 100, 300, 1000, 5000):
+        docs, want = [], []
+        for d in range(120):
+            i, at = random.randrange(30), random.randrange(58)
+            w = [f"d{random.randrange(10**6)}" for _ in range(size)]
+            put = random.randrange(size)
+            docs.append(" ".join(w[:put] + items[i].split()[at : at + 12] + w[put:]))
+            want.append(i)
+        w = split_words(docs)
+        got = {(t, i): agree / of for t, i, agree, of in index.candidates(w).tolist()}
+        total += len(docs)
+        found += sum((t, i) in got for t, i in enumerate(want))
+        # the estimate stands for 8 of 66 shingles
+        est = [got.get((t, i), 0) for t, i in enumerate(want)]
+        assert abs(np.mean(est) - 8 / 66) < 0.03
+        n = CO.bins_for(int(CO._class_of(np.array([size + 8]))[0]), (8, 66))
+        assert n >= bins
+        bins = n
+    assert found == total
+
+
 # ---- 9 ----------------------------------------------------------------------------------------------------
 
 
