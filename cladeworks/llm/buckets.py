@@ -1,14 +1,16 @@
 """Shuffling numpy records: many fixed-size records per row, as one binary value per hash bucket.
 
 A mapper turns each chunk of its input into one row per bucket; a reducer sees the buckets of its partition one
-after another and holds one of them at a time. There are ``PER_PARTITION`` buckets per reduce partition, and
-one partition per ``BYTES`` of the source as the planner estimates it, at least as many as the session's
-``spark.sql.shuffle.partitions``: a bucket's size does not grow with the data.
+after another and holds one of them at a time. There are ``PER_PARTITION`` buckets per ``BYTES`` of the source's
+files, and a partition holds ``PER_PARTITION`` of them, at least as many partitions as the session's
+``spark.sql.shuffle.partitions``. Beyond ``MOST_PARTITIONS`` a partition holds more buckets, so a bucket's size
+does not grow with the data.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -17,20 +19,33 @@ from pyspark.sql import DataFrame
 from cladeworks.session import reduce_partitions
 
 PER_PARTITION = 8
-BYTES = 128 << 20
+BYTES = 32 << 20
 MOST_PARTITIONS = 50_000
 UNKNOWN = 1 << 50
 SCHEMA = "bucket int, data binary"
 
 
-def partition_count(df: DataFrame) -> int:
-    """Reduce partitions for a shuffle of ``df``; the estimate reads no data.
+class Layout(NamedTuple):
+    partitions: int
+    buckets: int
 
-    Beyond ``UNKNOWN`` the planner guesses (rows in memory, products of joins); then the session's number holds.
+
+def source_bytes(df: DataFrame) -> int:
+    """Bytes of the files that ``df`` reads, by the planner, which reads no data.
+
+    The planner's guess for a projection prices every string at 20 bytes, so its leaves are asked. Leaves of
+    unknown size (rows in memory) count as nothing.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    wanted = min(MOST_PARTITIONS, size // BYTES) if size < UNKNOWN else 0
-    return max(reduce_partitions(df.sparkSession), wanted)
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < UNKNOWN)
+
+
+def layout(df: DataFrame) -> Layout:
+    """Reduce partitions and buckets for a shuffle of ``df``."""
+    least, wanted = reduce_partitions(df.sparkSession), -(-source_bytes(df) // BYTES)
+    partitions = max(least, min(MOST_PARTITIONS, wanted))
+    return Layout(partitions, PER_PARTITION * max(partitions, wanted))
 
 
 def by_bucket(keys: np.ndarray, records: np.ndarray, buckets: int) -> pa.RecordBatch:

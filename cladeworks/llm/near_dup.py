@@ -2,14 +2,25 @@
 
 Records are sets of shingles; a pair is a link if intersection / union >= ``threshold``. Equal texts are one
 class and are compared once. Every class has a signature of min-hashes; a tree of the forest is one order of
-the signature's columns, and its regions are the classes whose first columns agree. A region is compared as a
-whole, each class with each, at any size: deepening it would separate true pairs. The signature bytes that
-travel with each entry drop most chance candidates before the exact check.
-
-With trees of depth d the chance to share a region at similarity s is 1 - (1 - s**d)**trees: at 0.6 it is
+the signature's columns, in which the classes are sorted. Candidates are the neighbours whose longest common
+prefix reaches the tree's first depth; the classes that share it are a region.
+
+How deep a region is searched adapts to it, without separating pairs. A pair is worth an exact check if
+``AGREE`` of the ``SIG`` signature bytes after the prefix agree. Small regions, and those where many pairs agree, are
+compared as a whole. In a large region of mostly unlike classes (sampled, ``_hits``) the bytes are sorted again
+in ``ORDERS`` further orders and only neighbours with a common prefix of ``DEEPER`` bytes are compared. The orders
+cover every way in which AGREE bytes can agree (by the pigeonhole principle), so both ways find the same pairs.
+Regions of more than ``BLOCK`` classes whose pairs do agree are cut into blocks, and the pairs of blocks are
+dealt to all tasks.
+
+With trees of first depth d the chance to share a region at similarity s is 1 - (1 - s**d)**trees: at 0.6 it is
 0.9992 for sequences (16 trees, depth 2) and 0.9995 for headers (32 trees, depth 3), more above. It does not
-depend on the number of rows. The comparisons do: a region's are the square of its classes. Regions of more than
-``BLOCK`` classes are cut into blocks, and the pairs of blocks are dealt to all tasks.
+depend on the number of rows.
+
+Classes are told apart by 128 bits of hash: where 64 of them clash, the class is named by the other 64.
+Candidates are verified from their texts' shingles. A text does not travel with every pair: pairs are gathered in
+cells of at most about 2 * ``FAMILY`` classes (classes of one home, the least neighbour), and a cell gets each of
+its texts once.
 
 Defined cases: null texts are left out; texts without any shingle are in no pair; equal texts with a shingle
 are pairs of similarity 1; empty tables give no rows; ids are expected to be distinct (a repeated id would
@@ -18,7 +29,9 @@ pair with itself and is left out); extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import combinations
 from typing import NamedTuple
 
 import numpy as np
@@ -26,9 +39,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cladeworks.llm.buckets import MOST_PARTITIONS, PER_PARTITION, SCHEMA, by_bucket, partition_count, per_bucket
+from cladeworks.llm.buckets import MOST_PARTITIONS, SCHEMA, by_bucket, layout, per_bucket
 from cladeworks.llm.letters import clean_windows, joined, kmers
-from cladeworks.llm.words import chunks, mix
+from cladeworks.llm.words import CHUNK, chunks, mix
 from cladeworks.session import Scratch
 
 SIG = 24
@@ -41,8 +54,16 @@ PIECE = 512
 BLOCK_BYTES = 16 << 20
 #: Signature bytes that must agree (of SIG); a pair of similarity 0.6 has fewer with chance 0.002 per tree.
 AGREE = 8
+#: Of AGREE bytes, DEEPER fall into one of these parts of the signature: AGREE > PARTS * (DEEPER - 1).
+PARTS, DEEPER = 3, 3
+ORDERS = [c for g in range(PARTS) for c in combinations(range(g * SIG // PARTS, (g + 1) * SIG // PARTS), DEEPER)]
+#: Regions up to this size are compared as a whole at once; pairs sampled of larger ones.
+SAMPLED, SAMPLE = 2048, 4096
+#: Classes of one home per cell of the exact check.
+FAMILY = 256
+MAX_ROUNDS = 60
 #: Classes named by candidates are broadcast up to this number (16 bytes each), else joined by a shuffle.
-BROADCAST_CLASSES = 1_000_000
+BROADCAST_CLASSES = 500_000
 ENTRY = np.dtype([("key", "<u8"), ("cls", "<i8"), ("sig", "V24")])
 
 
@@ -92,18 +113,31 @@ def _densify(table: np.ndarray, empty: int) -> None:
     table[rows] = t
 
 
+def _short_pieces(seqs: list[str]) -> tuple[list[str], np.ndarray]:
+    """Very long sequences in pieces that share SEQ_K - 1 letters, and the row of each piece."""
+    pieces, rows = [], []
+    for i, s in enumerate(seqs):
+        for at in range(0, max(1, len(s) - SEQ_K + 1), CHUNK):
+            pieces.append(s[at : at + CHUNK + SEQ_K - 1] if len(s) > CHUNK else s)
+            rows.append(i)
+            if len(s) <= CHUNK:
+                break
+    return pieces, np.array(rows, np.int64)
+
+
 def seq_signatures(seqs: list[str], m: int) -> tuple[np.ndarray, np.ndarray]:
     """One-permutation min-hash signatures, and whether a sequence has a shingle."""
     empty = np.iinfo(np.uint64).max
     table = np.full((len(seqs), m), empty, np.uint64)
     flat = table.reshape(-1)
-    for first, part in chunks(seqs):
+    pieces, rows = _short_pieces(seqs)
+    for first, part in chunks(pieces):
         codes, ends = joined(part)
         at = np.flatnonzero(clean_windows(codes, SEQ_K))
         if len(at):
             h = mix(kmers(codes, SEQ_K)[at])
             owner = np.repeat(np.arange(len(ends)), np.diff(np.r_[0, np.searchsorted(at, ends)]))
-            slot = (first + owner) * m + (h % np.uint64(m)).astype(np.int64)
+            slot = rows[first + owner] * m + (h % np.uint64(m)).astype(np.int64)
             np.minimum.at(flat, slot, h // np.uint64(m))
     some = (table != empty).any(axis=1)
     _densify(table, empty)
@@ -191,6 +225,10 @@ def _tile_pairs(left: np.ndarray, right: np.ndarray | None, agree: int) -> Itera
             yield np.minimum(a, b), np.maximum(a, b)
 
 
+def _bytes(entries: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(entries["sig"]).view(np.uint8).reshape(-1, SIG)
+
+
 def _close_pairs(region: np.ndarray, cls: np.ndarray, sig: np.ndarray, agree: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The same for many small regions at once."""
     step = 1
@@ -204,10 +242,37 @@ def _close_pairs(region: np.ndarray, cls: np.ndarray, sig: np.ndarray, agree: in
         step += 1
 
 
+def _hits(sig: np.ndarray) -> tuple[float, float]:
+    """(ORDERS in which a random pair of the region's classes are neighbours, on average; share of pairs that agree)."""
+    n = len(sig)
+    at = mix(np.arange(2 * SAMPLE, dtype=np.uint64) + np.uint64(n)) % np.uint64(n)
+    same = sig[at[:SAMPLE].astype(np.int64)] == sig[at[SAMPLE:].astype(np.int64)]
+    per_part = same.reshape(SAMPLE, PARTS, SIG // PARTS).sum(axis=2)
+    ways = np.array([math.comb(k, DEEPER) for k in range(SIG // PARTS + 1)])
+    return float(ways[per_part].sum(axis=1).mean()), float((same.sum(axis=1) >= AGREE).mean())
+
+
+def _deeper_pairs(part: np.ndarray, sig: np.ndarray, agree: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a region's entries by their neighbours in the further orders."""
+    for cols in ORDERS:
+        prefix = sig[:, cols[0]].astype(np.int64)
+        for c in cols[1:]:
+            prefix = prefix << 8 | sig[:, c]
+        order = np.argsort(prefix, kind="stable")
+        for a, b in _close_pairs(prefix[order], part["cls"][order], sig[order], agree):
+            yield np.minimum(a, b), np.maximum(a, b)
+
+
+def _deepen(n: int, sig: np.ndarray) -> bool:
+    """Whether the further orders cost less than comparing the region as a whole: comparisons of single pairs are
+    some 20 times dearer than in tiles, and a sort is about a hundred per class and order."""
+    return n > SAMPLED and len(ORDERS) * n * 100 + _hits(sig)[0] * n * n * 10 < n * n / 2
+
+
 def candidates(data: np.ndarray, dense: int = DENSE, agree: int = AGREE, block: int | None = None, over: list[np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs (smaller class, larger class) of the regions in one bucket's entries: every pair of a region
-    is compared, whatever its size. A pair met in several regions comes several times. Regions of more than
-    ``block`` classes are put into ``over`` instead."""
+    """Candidate pairs (smaller class, larger class) of the regions in one bucket's entries: all pairs of a region
+    with ``agree`` equal bytes, whatever its size. A pair met in several regions comes several times. Regions of
+    more than ``block`` classes that are not worth further orders are put into ``over`` instead."""
     data = data[np.lexsort((data["cls"], data["key"]))]
     # a class met in several tasks is there several times with equal bytes
     data = data[np.r_[True, (data["key"][1:] != data["key"][:-1]) | (data["cls"][1:] != data["cls"][:-1])]]
@@ -216,10 +281,12 @@ def candidates(data: np.ndarray, dense: int = DENSE, agree: int = AGREE, block:
     n = np.diff(np.r_[starts, len(key)])
     size = np.repeat(n, n)
     small = data[(size > 1) & (size <= dense)]
-    yield from _close_pairs(small["key"], small["cls"], np.ascontiguousarray(small["sig"]).view(np.uint8).reshape(-1, SIG), agree)
+    yield from _close_pairs(small["key"], small["cls"], _bytes(small), agree)
     for first, many in zip(starts[n > dense].tolist(), n[n > dense].tolist()):
         part = data[first : first + many]
-        if block is not None and many > block:
+        if agree >= AGREE and _deepen(many, sig := _bytes(part)):
+            yield from _deeper_pairs(part, sig, agree)
+        elif block is not None and many > block:
             over.append(part)
         else:
             yield from _tile_pairs(part, None, agree)
@@ -297,20 +364,31 @@ def _all_found(stage: DataFrame, partitions: int) -> DataFrame:
 
 
 def _similarity(kind: Kind):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, object] = {}
+    """Similarity of the pairs of each cell; rows ``cell, a, b, text`` sorted by cell, texts (b null) first."""
 
-        def shingles(c: int, text: str):
-            if c not in known:
-                if len(known) > 500:
-                    known.clear()
-                known[c] = seq_shingles(text) if kind.name == "seq" else text_shingles(text)
-            return known[c]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, texts, sets, room = None, {}, {}, 0
+
+        def shingles(c: int):
+            nonlocal room
+            if c not in sets:
+                sets[c] = seq_shingles(texts[c]) if kind.name == "seq" else text_shingles(texts[c])
+                room += len(texts[c])
+                while room > 4 * CHUNK and len(sets) > 2:
+                    room -= len(texts[first := next(iter(sets))])
+                    del sets[first]
+            return sets[c]
 
         for batch in batches:
             out = []
-            for a, b, x, y in zip(*[c.to_pylist() for c in batch.columns]):
-                p, q = shingles(a, x), shingles(b, y)
+            cells, a_, b_ = (batch.column(i).to_pylist() for i in range(3))
+            for i, (cell, a, b) in enumerate(zip(cells, a_, b_)):
+                if cell != now:
+                    now, texts, sets, room = cell, {}, {}, 0
+                if b is None:
+                    texts[a] = batch.column(3)[i].as_py()
+                    continue
+                p, q = shingles(a), shingles(b)
                 both = len(np.intersect1d(p, q, assume_unique=True)) if kind.name == "seq" else len(p & q)
                 union = len(p) + len(q) - both
                 out.append((a, b, both / union if union else 0.0))
@@ -320,29 +398,62 @@ def _similarity(kind: Kind):
     return run
 
 
+def _cells(found: DataFrame, scratch: Scratch) -> DataFrame:
+    """``a, b, cell``: pairs of classes of the same two homes (the least neighbour) and family blocks share a cell."""
+    both = found.union(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    home = both.groupBy(F.col("a").alias("cls")).agg(F.least(F.min("b"), F.first("a")).alias("home"))
+    home = scratch.write(home, "homes")
+    blocks = home.groupBy("home").agg(F.ceil(F.count("*") / FAMILY).alias("blocks"))
+    place = home.join(blocks, "home").select("cls", F.xxhash64("home", F.pmod(F.xxhash64("cls"), F.col("blocks"))).alias("place"))
+    x, y = place.toDF("a", "x"), place.toDF("b", "y")
+    return scratch.write(found.join(x, "a").join(y, "b").select("a", "b", F.xxhash64("x", "y").alias("cell")), "cells")
+
+
+def _classes(df: DataFrame, key: str, text: Column | str, kind: Kind, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows ``id, text, cls``; members ``id, cls, in_pairs``; ``cls, id`` of each class' first record)."""
+    rows = df.select(F.col(key).alias("id"), (F.col(text) if isinstance(text, str) else text).alias("text")).where("text IS NOT NULL AND id IS NOT NULL")
+    normal = F.expr(kind.normal)
+    rows = rows.withColumn("cls", F.xxhash64(normal)).withColumn("other", F.xxhash64(F.lit(1), normal))
+    members = scratch.write(rows.select("id", "cls", "other", F.expr(kind.has_shingle).alias("in_pairs")), "members")
+    first = scratch.write(members.groupBy("cls").agg(F.min("id").alias("id"), F.min("other").alias("lo"), F.max("other").alias("hi")), "first")
+    clash = first.where("lo <> hi")
+    if clash.limit(1).count():
+        # texts that differ under one hash: all but those of the least other hash are named anew
+
+        def renamed(df: DataFrame) -> DataFrame:
+            j = df.join(clash.select("cls", "lo"), "cls", "left")
+            return j.withColumn("cls", F.when(F.col("lo").isNull() | (F.col("lo") == F.col("other")), F.col("cls")).otherwise(F.xxhash64("cls", "other"))).drop("lo")
+
+        rows, members = renamed(rows), scratch.write(renamed(members), "members")
+        first = scratch.write(members.groupBy("cls").agg(F.min("id").alias("id")), "first")
+    return rows.select("id", "cls", "text"), members.select("id", "cls", "in_pairs"), first.select("cls", "id")
+
+
 def near_duplicates(df: DataFrame, key: str, text: Column | str, kind: Kind, threshold: float = 0.6, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(links, members): links ``a, b, similarity`` between classes of equal text, and ``id, cls, in_pairs`` of
     every record; ``in_pairs`` is false for texts without a shingle."""
     scratch = Scratch(df.sparkSession)
-    rows = df.select(F.col(key).alias("id"), (F.col(text) if isinstance(text, str) else text).alias("text")).where("text IS NOT NULL AND id IS NOT NULL")
-    rows = rows.withColumn("cls", F.xxhash64(F.expr(kind.normal)))
-    members = scratch.write(rows.select("id", "cls", F.expr(kind.has_shingle).alias("in_pairs")), "members")
-    partitions = partition_count(rows)
-    signed = _signed(rows, kind, partitions * PER_PARTITION)
+    rows, members, first = _classes(df, key, text, kind, scratch)
+    partitions, buckets = layout(rows)
+    signed = _signed(rows, kind, buckets)
     stage = scratch.write(per_bucket(signed, _pairs(block, min(DENSE, block)), FOUND, partitions), "regions")
     found = scratch.write(_all_found(stage, partitions), "pairs")
     scratch.drop(stage)
 
-    named = found.select(F.col("a").alias("cls")).union(found.select(F.col("b").alias("cls"))).distinct()
-    named = scratch.write(named, "classes")
+    cells = _cells(found, scratch)
+    wanted = cells.select("cell", F.col("a").alias("cls")).union(cells.select("cell", F.col("b").alias("cls"))).distinct()
+    named = scratch.write(wanted.select("cls").distinct().join(first, "cls"), "named")
+    # the classes' first records are picked from the source; only their texts are shuffled
     small = named.count() <= BROADCAST_CLASSES
-    first = members.join(F.broadcast(named) if small else named, "cls").groupBy("cls").agg(F.min("id").alias("id"))
-    first = scratch.write(first, "first")
-    texts = rows.select("id", "text").join(F.broadcast(first) if small else first, "id").select("cls", "text")
-    texts = scratch.write(texts, "texts")
-    wide = found.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
-    links = wide.mapInArrow(_similarity(kind), "a bigint, b bigint, similarity double").where(F.col("similarity") >= threshold)
-    return scratch.write(links, "links"), members
+    texts = rows.select("id", "text").join(F.broadcast(named) if small else named, "id").select("cls", "text")
+    none = F.lit(None).cast("bigint")
+    read = wanted.join(texts, "cls").select("cell", F.col("cls").alias("a"), none.alias("b"), "text")
+    both = read.unionByName(cells.select("cell", "a", "b", F.lit(None).cast("string").alias("text")))
+    sorted_ = both.repartition(partitions, "cell").sortWithinPartitions("cell", F.col("b").asc_nulls_first(), "a")
+    links = sorted_.mapInArrow(_similarity(kind), "a bigint, b bigint, similarity double").where(F.col("similarity") >= threshold)
+    links = scratch.write(links, "links")
+    scratch.drop(found, cells, named, first)
+    return links, members
 
 
 def all_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
@@ -362,7 +473,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """
     edges = scratch.write(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     last = None
-    for _ in range(60):
+    for _ in range(MAX_ROUNDS):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -376,6 +487,8 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         if last == state:
             break
         last = state
+    else:
+        raise RuntimeError(f"components did not come to rest in {MAX_ROUNDS} rounds")
     return edges.select(F.col("u").alias("cls"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("cls"), F.col("v").alias("component"))).distinct()
 
 

@@ -1,17 +1,24 @@
-"""Long exact spans shared between records.
+"""Long exact spans shared between records, by repeated-phrase automata.
 
 A window is ``SPAN`` consecutive letters, all A, C, G or T, of the upper-cased sequence. Equal windows have an
 equal anchor: the least hash among their k-mers. So:
 
 1. each sequence is cut into passages, maximal runs of windows with one anchor (about 110 letters, 2 bits
-   each), and the passages are shuffled by anchor. Passages met in two records of one chunk are confirmed on
-   the spot and only one of them travels, so a sequence held by very many records is no hot spot;
-2. per bucket of anchors, recurring passages are confirmed: whole passages found in two records, and for
-   passages that share an anchor but differ, the runs of windows found in two records;
-3. the confirmed passages are compiled into Aho-Corasick automata, sharded by size, and the bucket's
-   passages are streamed through them to locate every occurrence. Passages are routed by anchor, so a
-   passage meets only the automata that can match in it, and the work stays linear in the data;
-4. the occurrences are merged per record.
+   each), and the passages are shuffled by anchor. Of passages that two records of one chunk have in common
+   only one copy travels; the chunk keeps the list of its places, so a sequence held by very many records is no
+   hot spot;
+2. per bucket of anchors, recurring passages are confirmed: whole passages found in two records, compared letter
+   by letter, and for passages that share an anchor but differ, the runs of windows found in two records, by
+   128 bits of hash;
+3. the confirmed passages are compiled into Aho-Corasick automata, sharded by size, and all passages of all
+   documents are streamed through the automata of their anchor's bucket. A passage can only hold phrases of its own
+   anchor, so streaming it through the other automata would find nothing, and the work stays linear in the
+   data;
+4. every occurrence found by an automaton goes to its record, or, for the copy that stands for several places, to
+   the chunk that keeps their list and from there to the records, where the places are merged. No place comes from
+   anywhere else.
+
+Very long sequences are cut into pieces that share SPAN - 1 letters: every window lies in one piece.
 
 Defined cases: null, empty and short sequences have no windows; a span repeated only inside one record is
 not shared; repeated records share everything; record ids are expected to be distinct (equal ids count as
@@ -24,12 +31,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeworks.llm.buckets import PER_PARTITION, SCHEMA, by_bucket, partition_count, per_bucket
+from cladeworks.llm.buckets import SCHEMA, by_bucket, layout, per_bucket
 from cladeworks.llm.letters import clean_windows, joined, kmers, sliding_min
-from cladeworks.llm.words import chunks, mix, powers
+from cladeworks.llm.words import CHUNK, chunks, mix, powers
 
 SPAN, K = 80, 20
 #: Most windows in a passage; anchors that last longer (repeats) are cut there.
@@ -41,8 +49,14 @@ FLUSH = 300_000
 #: Stands for "two or more records" in place of a record's number.
 SEVERAL = np.iinfo(np.int64).min
 _WORDS = 9  #: 9 * 16 letters hold the longest passage, SPAN + MOST - 1 = 140 letters
-PASSAGE = np.dtype([("anchor", "<u8"), ("hash", "<u8"), ("rec", "<i8"), ("start", "<i4"), ("len", "<i4"), ("codes", "<u4", (_WORDS,))])
+#: Of a copy that stands for several places, ``start`` is its number in the chunk.
+PASSAGE = np.dtype([("anchor", "<u8"), ("hash", "<u8"), ("rec", "<i8"), ("chunk", "<i8"), ("start", "<i4"), ("len", "<i4"), ("codes", "<u4", (_WORDS,))])
 PLACE = np.dtype([("rec", "<i8"), ("start", "<i4"), ("end", "<i4")])
+#: A place that a chunk keeps, and an occurrence in one of its copies.
+KEPT = np.dtype([("chunk", "<i8"), ("rec", "<i8"), ("start", "<i4"), ("number", "<i4")])
+REPLY = np.dtype([("chunk", "<i8"), ("number", "<i4"), ("begin", "<i4"), ("end", "<i4"), ("pad", "<i4")])
+#: Passages whose windows are looked at together (about 2 kB each).
+SLICE = 20_000
 
 
 def _text_hash(p: np.ndarray) -> np.ndarray:
@@ -54,7 +68,7 @@ def _text_hash(p: np.ndarray) -> np.ndarray:
     return h
 
 
-def pack(p: np.ndarray, buckets: int) -> pa.RecordBatch:
+def pack(p: np.ndarray, buckets: int, chunk: int = 0) -> pa.RecordBatch:
     """One row per bucket of anchors: columns one after another, only the words in use, records as differences."""
     at = (p["anchor"] % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(at, kind="stable")
@@ -68,20 +82,20 @@ def pack(p: np.ndarray, buckets: int) -> pa.RecordBatch:
         gap = np.where(one, q["rec"] - base + 1, 0)
         wide = bool(gap.max() >= 1 << 32)
         used = np.arange(_WORDS) < ((q["len"] + 15) // 16)[:, None]
-        head = np.array([len(q), wide, base], "<i8").tobytes()
+        head = np.array([len(q), wide, base, chunk], "<i8").tobytes()
         short = (q["anchor"] // np.uint64(buckets)).astype("<u4")
         rows.append(b"".join((head, short.tobytes(), gap.astype("<i8" if wide else "<u4").tobytes(), q["start"].tobytes(), q["len"].astype(np.uint8).tobytes(), q["codes"][used].tobytes())))
     return pa.RecordBatch.from_arrays([pa.array(at[first].astype(np.int32)), pa.array(rows, pa.binary())], ["bucket", "data"])
 
 
 def unpack(data: bytes) -> np.ndarray:
-    n, wide, base = np.frombuffer(data, "<i8", 3).tolist()
-    at, cols = 24, []
+    n, wide, base, chunk = np.frombuffer(data, "<i8", 4).tolist()
+    at, cols = 32, []
     for kind in ("<u4", "<i8" if wide else "<u4", "<i4", "u1"):
         cols.append(np.frombuffer(data, kind, n, at))
         at += n * cols[-1].itemsize
     out = np.zeros(n, PASSAGE)
-    out["anchor"], out["start"], out["len"] = cols[0], cols[2], cols[3]
+    out["anchor"], out["start"], out["len"], out["chunk"] = cols[0], cols[2], cols[3], chunk
     gap = cols[1].astype(np.int64)
     out["rec"] = np.where(gap > 0, gap + (base - 1), SEVERAL)
     used = np.arange(_WORDS) < ((out["len"] + 15) // 16)[:, None]
@@ -91,8 +105,19 @@ def unpack(data: bytes) -> np.ndarray:
     return out
 
 
-def passages(recs: np.ndarray, seqs: list[str]) -> np.ndarray:
-    """Passages of the sequences; ``recs`` numbers their records."""
+def _pieces(recs: np.ndarray, seqs: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Records, texts and first letters of pieces of at most CHUNK + SPAN - 1 letters."""
+    rows, texts, first = [], [], []
+    for i, s in enumerate(seqs):
+        for at in range(0, max(1, len(s) - SPAN + 1), CHUNK) if len(s) > CHUNK else (0,):
+            rows.append(i)
+            texts.append(s[at : at + CHUNK + SPAN - 1] if len(s) > CHUNK else s)
+            first.append(at)
+    return recs[np.array(rows, np.int64)], texts, np.array(first, np.int64)
+
+
+def passages(recs: np.ndarray, seqs: list[str], first_letter: np.ndarray | None = None) -> np.ndarray:
+    """Passages of the sequences; ``recs`` numbers their records, ``first_letter`` places them in these."""
     codes, ends = joined(seqs)
     n = len(codes)
     if n < SPAN:
@@ -117,7 +142,7 @@ def passages(recs: np.ndarray, seqs: list[str]) -> np.ndarray:
     out["anchor"] = low[s]
     owner = np.searchsorted(ends, s, "right")
     out["rec"] = recs[owner]
-    out["start"] = s - (ends - np.diff(np.r_[0, ends]))[owner]
+    out["start"] = s - (ends - np.diff(np.r_[0, ends]))[owner] + (0 if first_letter is None else first_letter[owner])
     out["len"] = length
     sixteen = kmers(codes, 16)
     for j in range(_WORDS):
@@ -143,21 +168,35 @@ def several(group: np.ndarray, rec: np.ndarray) -> np.ndarray:
     return ((low != high) | (low == SEVERAL))[group]
 
 
-def thin(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(passages to send, places known to be shared): one of the passages two records here have in common."""
-    if not len(p):
-        return p, np.empty(0, PLACE)
+def _same(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(p sorted by anchor and text, number of the group of each): groups are equal letter by letter."""
     p["hash"] = _text_hash(p)
-    p = p[np.lexsort((p["hash"], p["anchor"]))]
-    group = _runs([p["anchor"], p["hash"]])
+    while True:
+        p = p[np.lexsort((p["hash"], p["anchor"]))]
+        group = _runs([p["anchor"], p["hash"]])
+        first = p[np.flatnonzero(np.r_[True, group[1:] != group[:-1]])[group]] if len(p) else p
+        # codes beyond a passage's words repeat its end, so equal texts have equal codes
+        used = np.arange(_WORDS) < ((p["len"] + 15) // 16)[:, None]
+        other = (p["len"] != first["len"]) | ((p["codes"] != first["codes"]) & used).any(axis=1)
+        if not other.any():
+            return p, group
+        p["hash"][other] = mix(p["hash"][other] + np.uint64(1))
+
+
+def thin(p: np.ndarray, chunk: int) -> tuple[np.ndarray, np.ndarray]:
+    """(passages to send, places to keep): one copy of each passage that two records here have in common."""
+    if not len(p):
+        return p, np.empty(0, KEPT)
+    p, group = _same(p)
     shared = several(group, p["rec"])
     lead = np.r_[True, group[1:] != group[:-1]]
-    places = np.empty(int(shared.sum()), PLACE)
-    places["rec"], places["start"] = p["rec"][shared], p["start"][shared]
-    places["end"] = places["start"] + p["len"][shared]
-    send = p[~shared | lead].copy()
-    send["rec"][shared[~shared | lead]] = SEVERAL
-    return send, places
+    kept = np.empty(int(shared.sum()), KEPT)
+    kept["chunk"], kept["number"] = chunk, group[shared]
+    kept["rec"], kept["start"] = p["rec"][shared], p["start"][shared]
+    pick = ~shared | lead
+    send, copy = p[pick].copy(), shared[pick]
+    send["rec"][copy], send["start"][copy] = SEVERAL, group[pick][copy]
+    return send, kept
 
 
 _LETTERS = np.frombuffer(b"ACGT", np.uint8)
@@ -183,71 +222,112 @@ def _texts(p: np.ndarray) -> list[str]:
     return [row[:n].tobytes().decode("ascii") for row, n in zip(letters, p["len"].tolist())]
 
 
+def _window_hashes(codes: np.ndarray, up: np.ndarray, down: np.ndarray) -> np.ndarray:
+    prefix = np.zeros((len(codes), codes.shape[1] + 1), np.uint64)
+    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up, axis=1, out=prefix[:, 1:])
+    return mix((prefix[:, SPAN : SPAN + MOST] - prefix[:, :MOST]) * down[:MOST])
+
+
+def _shared_windows(q: np.ndarray, rec: np.ndarray) -> np.ndarray:
+    """(passage, window) flags: the window stands in passages of two records, by 128 bits of hash.
+
+    The windows' hashes are looked at in as many passes as there are slices, each with its part of the hashes.
+    """
+    hit = np.zeros((len(q), MOST), bool)
+    passes = -(-len(q) // SLICE)
+    up, down = powers(16 * _WORDS + 1)
+    for turn in range(passes):
+        keys, others, rows, cols = [], [], [], []
+        for at in range(0, len(q), SLICE):
+            part = q[at : at + SLICE]
+            codes = decode(part)
+            # two polynomials, of a base and of its square
+            w, v = (_window_hashes(codes, x[: codes.shape[1]], y) for x, y in ((up, down), (up * up, down * down)))
+            row, col = np.nonzero(np.arange(MOST) < (part["len"] - SPAN + 1)[:, None])
+            key = mix(w[row, col] + part["anchor"][row])
+            mine = key % np.uint64(passes) == turn
+            keys.append(key[mine])
+            others.append(v[row, col][mine])
+            rows.append(row[mine] + at)
+            cols.append(col[mine])
+        key, other, row, col = (np.concatenate(x) for x in (keys, others, rows, cols))
+        order = np.lexsort((other, key))
+        row, col = row[order], col[order]
+        yes = several(_runs([key[order], other[order]]), rec[row]) if len(row) else order
+        hit[row[yes], col[yes]] = True
+    return hit
+
+
+def _slices(anchor: np.ndarray) -> Iterator[slice]:
+    """Consecutive rows of whole anchors, about SLICE of them; a larger anchor is a slice of its own."""
+    edges = np.r_[np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]]), len(anchor)]
+    at = 0
+    for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        if high - at > SLICE and low > at:
+            yield slice(at, low)
+            at = low
+    if at < len(anchor):
+        yield slice(at, len(anchor))
+
+
 def confirm(p: np.ndarray) -> tuple[np.ndarray, list[str]]:
-    """(passages of recurring anchors, texts confirmed to stand in two records)."""
+    """(passages of recurring anchors, sorted as by ``_same``; texts confirmed to stand in two records)."""
     p = p[np.argsort(p["anchor"], kind="stable")]
     p = p[several(_runs([p["anchor"]]), p["rec"])] if len(p) else p
     if not len(p):
         return p, []
-    p["hash"] = _text_hash(p)
-    p = p[np.lexsort((p["hash"], p["anchor"]))]
-    whole = _runs([p["anchor"], p["hash"]])
+    p, whole = _same(p)
     shared = several(whole, p["rec"])
     lead = np.r_[True, whole[1:] != whole[:-1]]
-    found = _texts(p[shared & lead])
+    found = dict.fromkeys(_texts(p[shared & lead]))
     # anchors under which passages differ: look at their windows, one copy of each passage and record kind
     anchor = _runs([p["anchor"]])
     mixed = np.bincount(anchor, weights=lead)[anchor] > 1
-    if mixed.any():
-        pick = mixed & (lead | ~shared)
-        q = p[pick]
-        rec = np.where(shared[pick], SEVERAL, q["rec"])
-        codes = decode(q)
-        prefix = np.zeros((len(q), codes.shape[1] + 1), np.uint64)
-        up, down = powers(codes.shape[1] + 1)
-        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[:-1], axis=1, out=prefix[:, 1:])
-        w = mix((prefix[:, SPAN : SPAN + MOST] - prefix[:, :MOST]) * down[:MOST])
-        live = np.arange(MOST) < (q["len"] - SPAN + 1)[:, None]
-        row, col = np.nonzero(live)
-        key = mix(w[row, col] + q["anchor"][row])
-        order = np.argsort(key, kind="stable")
-        group = _runs([key[order]])
-        hit = np.zeros(live.shape, bool)
-        yes = order[several(group, rec[row[order]])]
-        hit[row[yes], col[yes]] = True
-        hit &= (~shared[pick])[:, None]
+    pick = mixed & (lead | ~shared)
+    every, known = p[pick], shared[pick]
+    for rows in _slices(every["anchor"]):
+        q = every[rows]
+        hit = _shared_windows(q, np.where(known[rows], SEVERAL, q["rec"]))
+        hit &= ~known[rows][:, None]
         flat = np.zeros((len(q), MOST + 2), np.int8)
         flat[:, 1:-1] = hit
         step = np.diff(flat, axis=1)
         r, a = np.nonzero(step == 1)
         _, b = np.nonzero(step == -1)
-        letters = _LETTERS[codes]
-        found += [letters[i, x : y - 1 + SPAN].tobytes().decode("ascii") for i, x, y in zip(r.tolist(), a.tolist(), b.tolist())]
-    return p, list(dict.fromkeys(found))
+        some, r = np.unique(r, return_inverse=True)
+        letters = _LETTERS[decode(q[some])] if len(some) else None
+        for i, x, y in zip(r.tolist(), a.tolist(), b.tolist()):
+            found[letters[i, x : y - 1 + SPAN].tobytes().decode("ascii")] = None
+    return p, list(found)
+
 
+def locate(p: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(places, replies): every occurrence of the texts in the passages, by automata of bounded size.
 
-def locate(p: np.ndarray, texts: list[str]) -> np.ndarray:
-    """Places of every occurrence of the texts in the passages, by automata of bounded size."""
+    Equal passages next to each other are streamed once and their occurrences copied.
+    """
     import ahocorasick
 
-    p = p[p["rec"] != SEVERAL]
     if not len(p) or not texts:
-        return np.empty(0, PLACE)
-    streams = _texts(p)
+        return np.empty(0, PLACE), np.empty(0, REPLY)
+    group = _runs([p["anchor"], p["hash"]])
+    lead = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    many = np.diff(np.r_[lead, len(p)])
     owner, begin, end = [], [], []
-    shard, size = [], 0
 
     def search(shard: list[str]) -> None:
         automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
         for t in shard:
             automaton.add_word(t)
         automaton.make_automaton()
-        for i, s in enumerate(streams):
-            for e, n in automaton.iter(s):
-                owner.append(i)
-                begin.append(e + 1 - n)
-                end.append(e + 1)
+        for at in range(0, len(lead), SLICE):
+            for i, s in enumerate(_texts(p[lead[at : at + SLICE]]), at):
+                for e, n in automaton.iter(s):
+                    owner.append(i)
+                    begin.append(e + 1 - n)
+                    end.append(e + 1)
 
+    shard, size = [], 0
     for t in texts:
         shard.append(t)
         size += len(t)
@@ -256,11 +336,37 @@ def locate(p: np.ndarray, texts: list[str]) -> np.ndarray:
             shard, size = [], 0
     if shard:
         search(shard)
-    o = np.array(owner, np.int64)
-    out = np.empty(len(o), PLACE)
-    out["rec"] = p["rec"][o]
-    out["start"] = p["start"][o] + np.array(begin, np.int32)
-    out["end"] = p["start"][o] + np.array(end, np.int32)
+    once = np.empty(len(owner), PLACE)
+    once["rec"], once["start"], once["end"] = owner, begin, end
+    once = merge_places(once)
+    o, a, b = once["rec"], once["start"], once["end"]
+    n = many[o]
+    row = np.repeat(lead[o], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    a, b = np.repeat(a, n), np.repeat(b, n)
+    copy = p["rec"][row] == SEVERAL
+    places, replies = np.empty(int((~copy).sum()), PLACE), np.zeros(int(copy.sum()), REPLY)
+    x = p[row[~copy]]
+    places["rec"], places["start"], places["end"] = x["rec"], x["start"] + a[~copy], x["start"] + b[~copy]
+    x = p[row[copy]]
+    replies["chunk"], replies["number"], replies["begin"], replies["end"] = x["chunk"], x["start"], a[copy], b[copy]
+    return places, replies
+
+
+def expand(kept: np.ndarray, replies: np.ndarray) -> np.ndarray:
+    """Places of the occurrences in the copies that chunks keep the places of."""
+    kept, replies = (x[np.lexsort((x["number"], x["chunk"]))] for x in (kept, replies))
+    # numbers of the (chunk, number) pairs of both, in order
+    both = np.concatenate([kept[["chunk", "number"]], replies[["chunk", "number"]]])
+    order = np.lexsort((both["number"], both["chunk"]))
+    name = np.empty(len(both), np.int64)
+    name[order] = _runs([both["chunk"][order], both["number"][order]])
+    k, r = name[: len(kept)], name[len(kept) :]
+    a, b = np.searchsorted(r, k, "left"), np.searchsorted(r, k, "right")
+    n = b - a
+    at = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    out = np.empty(len(at), PLACE)
+    start = np.repeat(kept["start"], n)
+    out["rec"], out["start"], out["end"] = np.repeat(kept["rec"], n), start + replies["begin"][at], start + replies["end"][at]
     return out
 
 
@@ -286,40 +392,61 @@ def shared_spans(df: DataFrame, key: str, seq: str) -> DataFrame:
     """``key, span_start, span_len``: maximal runs of letters covered by windows that another record has too."""
     source = df.select(F.col(key).cast("bigint").alias("rec"), F.col(seq).alias("seq")).where(F.col("rec").isNotNull() & (F.length("seq") >= SPAN))
 
-    partitions = partition_count(source)
-    buckets = partitions * PER_PARTITION
+    partitions, buckets = layout(source)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        size = 0
+        size, chunk = 0, TaskContext.get().partitionId() << 32
         for b in batches:
-            recs = b.column(0).to_numpy()
-            for first, part in chunks(b.column(1).to_pylist()):
-                held.append(passages(recs[first : first + len(part)], part))
+            recs, texts, letter = _pieces(b.column(0).to_numpy(), b.column(1).to_pylist())
+            for first, part in chunks(texts):
+                rows = slice(first, first + len(part))
+                held.append(passages(recs[rows], part, letter[rows]))
                 size += len(held[-1])
                 if size >= FLUSH:
-                    yield from send(held)
+                    chunk += 1
+                    yield from send(held, chunk)
                     held, size = [], 0
         if size:
-            yield from send(held)
+            yield from send(held, chunk + 1)
+
+    def by_chunk(x: np.ndarray) -> pa.RecordBatch:
+        """To the buckets of negative numbers."""
+        out = by_bucket(mix(x["chunk"].astype(np.uint64)), x, buckets)
+        mark = b"K" if x.dtype == KEPT else b"R"
+        return pa.RecordBatch.from_arrays([pa.array(-1 - out.column(0).to_numpy()), pa.array([mark + d.as_py() for d in out.column(1)], pa.binary())], ["bucket", "data"])
 
-    def send(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        p, known = thin(np.concatenate(held))
-        yield pack(p, buckets)
-        if len(known):
-            known = merge_places(known)
-            out = by_bucket(mix(known["rec"].astype(np.uint64)), known, buckets)
-            # places already known travel along in buckets of negative numbers
-            yield pa.RecordBatch.from_arrays([pa.array(-1 - out.column(0).to_numpy()), out.column(1)], ["bucket", "data"])
+    def by_record(places: np.ndarray) -> pa.RecordBatch:
+        places = merge_places(places)
+        return by_bucket(mix(places["rec"].astype(np.uint64)), places, buckets)
+
+    def send(held: list[np.ndarray], chunk: int) -> Iterator[pa.RecordBatch]:
+        p, kept = thin(np.concatenate(held), chunk)
+        yield pack(p, buckets, chunk)
+        if len(kept):
+            yield by_chunk(kept)
+
+    def as_they_are(bucket: int, held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(held), pa.int32()), pa.array(held, pa.binary())], ["bucket", "data"])
 
     def find(bucket: int, held: list[bytes]) -> Iterator[pa.RecordBatch]:
         if bucket < 0:
-            yield pa.RecordBatch.from_arrays([pa.array([-1 - bucket] * len(held), pa.int32()), pa.array(held, pa.binary())], ["bucket", "data"])
+            yield from as_they_are(bucket, held)
+            return
+        places, replies = locate(*confirm(np.concatenate([unpack(x) for x in held])))
+        if len(places):
+            yield by_record(places)
+        if len(replies):
+            yield by_chunk(replies)
+
+    def answer(bucket: int, held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if bucket >= 0:
+            yield from as_they_are(bucket, held)
             return
-        p, texts = confirm(np.concatenate([unpack(x) for x in held]))
-        places = merge_places(locate(p, texts))
+        kept, replies = (np.frombuffer(b"".join(x[1:] for x in held if x[:1] == mark), kind) for mark, kind in ((b"K", KEPT), (b"R", REPLY)))
+        places = expand(kept, replies)
         if len(places):
-            yield by_bucket(mix(places["rec"].astype(np.uint64)), places, buckets)
+            yield by_record(places)
 
     def merge(_: int, held: list[bytes]) -> Iterator[pa.RecordBatch]:
         places = merge_places(np.frombuffer(b"".join(held), PLACE))
@@ -327,7 +454,8 @@ def shared_spans(df: DataFrame, key: str, seq: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(places["rec"]), pa.array(places["start"].astype(np.int64)), pa.array((places["end"] - places["start"]).astype(np.int64))], ["rec", "start", "len"])
 
     located = per_bucket(source.mapInArrow(cut, SCHEMA), find, SCHEMA, partitions)
-    spans = per_bucket(located, merge, _SPANS, partitions)
+    answered = per_bucket(located, answer, SCHEMA, partitions)
+    spans = per_bucket(answered, merge, _SPANS, partitions)
     return spans.select(F.col("rec").alias(key), F.col("start").alias("span_start"), F.col("len").alias("span_len"))
 
 

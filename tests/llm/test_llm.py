@@ -245,6 +245,67 @@ def test_headers_of_stock_phrases_keep_their_pairs():
     assert (want & got).sum() >= 0.99 * want.sum()
 
 
+@pytest.mark.parametrize("members, edits", [(120, 25), (400, 25), (1600, 25), (1600, 10)])
+def test_sequence_families_keep_their_pairs(members, edits):
+    rng = np.random.default_rng(members + edits)
+    base = rng.choice(list("ACGT"), 3000)
+    seqs = []
+    for _ in range(members):
+        s = base.copy()
+        s[rng.integers(0, 3000, edits)] = rng.choice(list("ACGT"), edits)
+        seqs.append("".join(s))
+    table, _ = ND.seq_signatures(seqs, ND.SEQ.trees * ND.SEQ.depth)
+    got = set()
+    at = rng.integers(0, members, (1500, 2))
+    wanted = {(int(min(p)), int(max(p))) for p in at if p[0] != p[1]}
+    for _, rec in ND.entries(np.arange(members), table, ND.SEQ):
+        for a, b in ND.candidates(rec):
+            got |= wanted & set(zip(a.tolist(), b.tolist()))
+    sets = {i: ND.seq_shingles(seqs[i]) for p in wanted for i in p}
+    sim = {(a, b): len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) for a, b in wanted}
+    true = {p for p, x in sim.items() if x >= 0.6}
+    assert len(true) > 500 and len(true & got) >= 0.995 * len(true)
+
+
+def test_further_orders_find_what_whole_comparison_finds():
+    rng = np.random.default_rng(3)
+    n = 40_000
+    sig = rng.integers(0, 256, (n, ND.SIG), dtype=np.uint8)
+    sig[:, 0] = 7  # a column that all share
+    for i in range(0, 400, 2):  # pairs that agree in 8 or more bytes, and some in 7
+        cols = rng.choice(ND.SIG, 7 + i % 5, replace=False)
+        sig[i + 1, cols] = sig[i, cols]
+    part = np.zeros(n, ND.ENTRY)
+    part["cls"] = rng.permutation(n)
+    part["sig"] = np.ascontiguousarray(sig).view("V24").reshape(-1)
+    assert ND._deepen(n, sig)
+    pairs = lambda it: {p for a, b in it for p in zip(a.tolist(), b.tolist())}
+    whole = pairs(ND._tile_pairs(part, None, ND.AGREE))
+    assert len(whole) > 100 and pairs(ND.candidates(part)) == whole
+    over = []
+    assert pairs(ND.candidates(part, block=1000, over=over)) == whole and not over
+
+
+def test_clashing_hashes_are_different_classes(spark, monkeypatch):
+    # a normal form whose first hash is the same for all texts
+    real = ND.F.xxhash64
+    monkeypatch.setattr(ND.F, "xxhash64", lambda *c: real(ND.F.lit(0)) if len(c) == 1 and "upper" in str(c[0]) else real(*c))
+    seqs = ["ACGT" * 10, "acgt" * 10, "TTGACCA" * 8, "ACGTACGTAC" * 6, "TTGACCA" * 8]
+    df = spark.createDataFrame(list(enumerate(seqs)), "k bigint, seq string")
+    _, members = ND.near_duplicates(df, "k", "seq", ND.SEQ)
+    cls = {r.id: r.cls for r in members.collect()}
+    assert cls[0] == cls[1] and cls[2] == cls[4] and len(set(cls.values())) == 3
+
+
+def test_very_long_sequences_are_signed_in_pieces(monkeypatch):
+    rng = np.random.default_rng(4)
+    seq = "".join(rng.choice(list("ACGTN"), 50_000, p=[0.249] * 4 + [0.004]))
+    whole, _ = ND.seq_signatures([seq, "ACGT" * 9], 32)
+    monkeypatch.setattr(ND, "CHUNK", 700)
+    parts, _ = ND.seq_signatures([seq, "ACGT" * 9], 32)
+    assert (whole == parts).all()
+
+
 def test_regions_in_blocks(spark):
     texts = _family(150)
     want = {(int(a), int(b)) for a, b in zip(*np.nonzero(_similarities(texts) >= 0.6))}
@@ -296,13 +357,36 @@ def test_shared_spans(spark):
     assert SS.shared_spans(df.where("false"), "k", "seq").count() == 0
 
 
+def test_long_and_small_slices_give_the_same_spans(monkeypatch):
+    rng = np.random.default_rng(8)
+    base = "".join(rng.choice(list("ACGT"), 6000))
+    rows = [(1, base), (2, base[1000:4000] + "N" + base[:500].lower()), (3, "".join(rng.choice(list("ACGT"), 500)) + base[3000:3100]), (4, "ACAC" * 400), (5, "CACA" * 100 + base[:85])]
+    rows += [(10 + i, base[i * 7 : i * 7 + 300]) for i in range(40)]
+    want = _spans(rows)
+    monkeypatch.setattr(SS, "CHUNK", 400)
+    monkeypatch.setattr(SS, "SLICE", 50)
+    monkeypatch.setattr(SS, "SHARD_LETTERS", 1000)
+    held, kept = [], []
+    for i in range(0, len(rows), 7):
+        recs, texts, first = SS._pieces(np.array([r for r, _ in rows[i : i + 7]]), [s for _, s in rows[i : i + 7]])
+        send, keep = SS.thin(SS.passages(recs, texts, first), i + 1)
+        send["chunk"] = i + 1
+        held.append(send)
+        kept.append(keep)
+    places, replies = SS.locate(*SS.confirm(np.concatenate(held)))
+    assert len(replies)
+    got = SS.merge_places(np.concatenate([places, SS.expand(np.concatenate(kept), replies)]))
+    assert {(int(p["rec"]), int(p["start"]), int(p["end"] - p["start"])) for p in got} == want
+
+
 def test_passages_pack_round_trip():
     random.seed(6)
     seqs = ["".join(random.choice("ACGT") for _ in range(500)) for _ in range(20)]
     p = SS.passages(np.arange(20) * 10**12 - 5, seqs)
     texts = SS._texts(p)
     assert all(t == seqs[(int(r) + 5) // 10**12][s : s + n] for t, r, s, n in zip(texts, p["rec"], p["start"], p["len"]))
-    back = np.concatenate([SS.unpack(x) for x in SS.pack(p, 7).column(1).to_pylist()])
+    back = np.concatenate([SS.unpack(x) for x in SS.pack(p, 7, 99).column(1).to_pylist()])
+    assert set(back["chunk"].tolist()) == {99}
     assert sorted(zip(back["rec"].tolist(), back["start"].tolist(), SS._texts(back))) == sorted(zip(p["rec"].tolist(), p["start"].tolist(), texts))
 
 
