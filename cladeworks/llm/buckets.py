@@ -15,6 +15,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cladeworks.session import reduce_partitions
 
@@ -76,4 +77,5 @@ def per_bucket(df: DataFrame, work: Callable[[int, list[bytes]], Iterator[pa.Rec
         if held:
             yield from work(now, held)
 
-    return df.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+    # buckets are dealt out evenly, not by another hash
+    return df.repartitionById(partitions, F.pmod("bucket", F.lit(partitions)).cast("int")).sortWithinPartitions("bucket").mapInArrow(run, schema)
