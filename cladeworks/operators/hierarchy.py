@@ -1,13 +1,17 @@
-"""Parent-child links to full hierarchies, by pointer doubling: rounds grow with the log of the depth.
-
-1. Upward: every node's pointer jumps 1, 2, 4, ... links until it stands on a root; the distance adds up.
-   When a round finishes no node while some are unfinished, the unfinished nodes have no end to their way:
-   depths along a way are consecutive, so a doubling that nobody finishes in proves that none is left.
-2. Subtree sizes, upward: after round i a node knows its descendants nearer than 2**i; it adds its count to
-   the node 2**i above (a partial aggregation, so a parent with very many children is no hot spot).
-3. Preorder, downward: siblings get consecutive ranges by a prefix sum of subtree sizes; the prefix sum over
+"""Parent-child links to full hierarchies by nested sets; rounds grow with the log of the depth.
+
+1. Subtree sizes, upward: after round i a node knows its descendants nearer than 2**i and the node 2**i above;
+   it adds its count to that node (a partial aggregation, so a parent with very many children is no hot spot)
+   and jumps on. A node whose jump passes a root is processed: root, depth and the sizes below it are known.
+   When a round processes no node while some are left, sizing cannot end for these: depths along a way are
+   consecutive, so a doubling that nobody finishes in proves that none will. The unprocessed nodes are those
+   with no end to their way, on a cycle or below one.
+2. Preorder ranges, downward: siblings get consecutive ranges by a prefix sum of subtree sizes; the prefix sum over
    a huge family runs in blocks. A node's preorder number is the sum of the offsets along its way, by the
-   same doubling. Descendants of a are the nodes with pre in [a.pre, a.pre + a.size).
+   same doubling. Descendants of a are the nodes with pre in (a.pre, a.pre + n_descendants].
+3. Ancestors and descendants are a join of ranges with preorder numbers. Ranges are cut into dyadic blocks of at most
+   2**``LEVELS`` numbers and joined by tree and block, so a large tree is no hot key and the work is that of the
+   result.
 
 Every round is a written table in the shared folder, so lineage stays short and executors may be lost.
 
@@ -26,6 +30,8 @@ from cladeworks.session import Scratch
 #: Children of one node per block of the sibling prefix sum.
 BLOCKS = 64
 MAX_ROUNDS = 62
+#: Preorder numbers per block of the range join, as a power of two.
+LEVELS = 12
 
 
 def _edges(df: DataFrame, node: str, parent: str, order: str, label: str | None = None) -> DataFrame:
@@ -39,34 +45,41 @@ def _edges(df: DataFrame, node: str, parent: str, order: str, label: str | None
     return e.select("id", F.when(kind.isNull(), F.col("p")).alias("p"), kind.alias("root_kind"), "label")
 
 
-def _climb(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[DataFrame], int]:
-    """(id, root, depth; root null without an end), the jump tables of each round, and their number."""
-    state = scratch.write(edges.select("id", F.col("p").alias("jump"), F.when(F.col("p").isNull(), F.col("id")).alias("root"), F.when(F.col("p").isNull(), 0).otherwise(1).alias("depth")), "climb")
-    jumps = [state]
-    left = state.where("root IS NULL").count()
-    for _ in range(MAX_ROUNDS):
-        if not left:
-            break
-        done = state.where("root IS NOT NULL")
-        a = state.where("root IS NULL").alias("a")
-        b = state.select(F.col("id").alias("jump"), F.col("jump").alias("next"), F.col("root").alias("above"), F.col("depth").alias("more")).alias("b")
-        moved = a.join(b, "jump").select("id", "next", F.col("above").alias("root"), (F.col("depth") + F.col("more")).alias("depth"))
-        state = scratch.write(done.unionByName(moved.withColumnRenamed("next", "jump")), "climb")
-        jumps.append(state)
-        now = state.where("root IS NULL").count()
+def _size_upward(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, int, int]:
+    """(``id, jump, root, depth, size`` of every node, rounds, unprocessed nodes).
+
+    ``jump`` is null for processed nodes, which have a root, a depth and the size of their subtree, themselves
+    included; the others keep a jump, and their sizes mean nothing.
+    """
+    top = F.col("p").isNull()
+    state = scratch.write(edges.select("id", F.col("p").alias("jump"), F.when(top, F.col("id")).alias("root"), F.when(top, 0).otherwise(1).alias("depth"), F.lit(1.0).alias("size")), "size")
+    left, rounds = state.where("jump IS NOT NULL").count(), 0
+    while left:
+        # doubles are exact up to 2**53 and do not overflow where a cycle counts itself again and again
+        gained = state.where("jump IS NOT NULL").groupBy(F.col("jump").alias("id")).agg(F.sum("size").alias("more"))
+        beyond = state.select(F.col("id").alias("jump"), F.col("jump").alias("next"), F.col("root").alias("above"), F.col("depth").alias("up"))
+        moved = state.join(beyond, "jump", "left").join(gained, "id", "left")
+        depth = F.col("depth") + F.when(F.col("root").isNull(), F.coalesce("up", F.lit(0))).otherwise(0)
+        new = moved.select("id", F.col("next").alias("jump"), F.coalesce("root", "above").alias("root"), depth.alias("depth"), (F.col("size") + F.coalesce("more", F.lit(0.0))).alias("size"))
+        new = scratch.write(new, "size")
+        scratch.drop(state)
+        state, rounds = new, rounds + 1
+        now = state.where("jump IS NOT NULL").count()
         if now == left:
             break
+        if rounds == MAX_ROUNDS:
+            raise RuntimeError(f"more than {MAX_ROUNDS} doublings")
         left = now
-    return state, jumps, left
+    return state, rounds, left
 
 
 def endless_nodes(df: DataFrame, node: str, parent: str, order: str) -> DataFrame:
-    """Nodes from which following the parent never ends, with the smallest id on the cycle they reach."""
+    """Nodes that sizing leaves unprocessed, with the smallest id on the cycle they reach."""
     scratch = Scratch(df.sparkSession)
     edges = scratch.write(_edges(df, node, parent, order), "edges")
-    state, jumps, left = _climb(edges, scratch)
-    bad = scratch.write(state.where("root IS NULL").select("id").join(edges, "id").select("id", F.col("p").alias("jump"), F.least("id", "p").alias("low")), "bad")
-    scratch.drop(*jumps)
+    state, _, left = _size_upward(edges, scratch)
+    bad = scratch.write(state.where("jump IS NOT NULL").select("id").join(edges, "id").select("id", F.col("p").alias("jump"), F.least("id", "p").alias("low")), "bad")
+    scratch.drop(state)
     # after enough doublings a jump stands on the cycle and "low" has seen all of it
     steps = 1
     while steps < left:
@@ -96,22 +109,10 @@ def build_hierarchy(df: DataFrame, node: str, parent: str, order: str, label: st
     """
     scratch = Scratch(df.sparkSession)
     edges = scratch.write(_edges(df, node, parent, order, label), "edges")
-    state, jumps, _ = _climb(edges, scratch)
-    rounds = len(jumps)
-    tree = scratch.write(edges.join(state.where("root IS NOT NULL").select("id", "root", "depth"), "id"), "tree")
-    scratch.drop(*jumps)
-
-    # jump: 2**i links up, null past the root; size: descendants nearer than 2**i
-    up = scratch.write(tree.select("id", F.col("p").alias("jump"), F.lit(1).cast("bigint").alias("size")), "size")
-    for _ in range(rounds):
-        gained = up.where("jump IS NOT NULL").groupBy(F.col("jump").alias("id")).agg(F.sum("size").alias("more"))
-        beyond = up.select(F.col("id").alias("jump"), F.col("jump").alias("next"))
-        nxt = up.join(beyond, "jump", "left").join(gained, "id", "left").select("id", F.col("next").alias("jump"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
-        nxt = scratch.write(nxt, "size")
-        scratch.drop(up)
-        up = nxt
-    sized = tree.select("id", "p").join(up.select("id", "size"), "id")
-    offsets = _sibling_offsets(sized.where("p IS NOT NULL"))
+    state, rounds, _ = _size_upward(edges, scratch)
+    tree = scratch.write(edges.join(state.where("jump IS NULL").select("id", "root", "depth", F.col("size").cast("bigint").alias("size")), "id"), "tree")
+    scratch.drop(state)
+    offsets = _sibling_offsets(tree.where("p IS NOT NULL").select("id", "p", "size"))
     step = F.concat_ws(":", F.coalesce("label", F.lit("?")), F.col("id").cast("string"))
     down = tree.join(offsets, "id", "left").select("id", F.col("p").alias("jump"), F.coalesce("offset", F.lit(0)).cast("bigint").alias("pre"), F.array("id").alias("ids"), F.array(step).alias("steps"))
     down = scratch.write(down, "down")
@@ -121,25 +122,49 @@ def build_hierarchy(df: DataFrame, node: str, parent: str, order: str, label: st
         moved = scratch.write(moved, "down")
         scratch.drop(down)
         down = moved
-    good = tree.join(up.select("id", "size"), "id").join(down.select("id", "pre", "ids", "steps"), "id")
+    good = tree.join(down.select("id", "pre", "ids", "steps"), "id")
     return edges.select("id", "p", "root_kind").join(good.select("id", "root", "depth", "pre", "size", "ids", "steps"), "id", "left").select(
-        F.col("id").alias(node), F.col("p").alias(parent), F.col("root").alias("root_id"), "root_kind", "depth", "pre", (F.col("size") - 1).alias("n_descendants"), F.concat_ws(",", F.col("ids").cast("array<string>")).alias("path_ids"), F.concat_ws("/", "steps").alias("path")
+        F.col("id").alias(node), F.col("p").alias(parent), F.col("root").alias("root_id"), "root_kind", "depth", "pre", (F.col("size") - 1).alias("n_descendants"), F.array_join(F.col("ids").cast("array<string>"), ",").alias("path_ids"), F.array_join("steps", "/").alias("path")
     )
 
 
-def ancestors(hierarchy: DataFrame) -> DataFrame:
-    """(node, ancestor) pairs from the paths: ``<node>, ancestor_id, distance``, self left out."""
+def related(hierarchy: DataFrame, tops: DataFrame | None = None) -> DataFrame:
+    """``ancestor_id, <node>, distance``: every pair of a node and a descendant of it, by nested-set ranges.
+
+    ``tops`` (one column named as the node's) leaves only the descendants of its ids. A range is the union of
+    at most 2 * LEVELS dyadic blocks at its ends and whole blocks of 2**LEVELS between them; a node lies in one
+    block of each size. So every pair is met once, and no block has more than 2**LEVELS nodes.
+    """
     node = hierarchy.columns[0]
-    ids = F.split("path_ids", ",")
-    e = hierarchy.where("depth > 0").select(node, "depth", F.posexplode(ids).alias("at", "ancestor_id"))
-    return e.where("at < depth").select(node, F.col("ancestor_id").cast("bigint").alias("ancestor_id"), (F.col("depth") - F.col("at")).alias("distance"))
+    inside = hierarchy.where("pre IS NOT NULL").select(F.col(node).alias("id"), "root_id", "depth", F.col("pre").cast("bigint").alias("pre"), "n_descendants")
+    above = inside.where("n_descendants > 0")
+    if tops is not None:
+        above = above.join(tops.select(F.col(node).alias("id")).distinct(), "id")
+    # [lo, hi) in steps of the largest aligned block that fits
+    lo, hi = F.col("pre") + 1, F.col("pre") + 1 + F.col("n_descendants")
+    blocks = []
+    for level in range(LEVELS + 1):
+        size = 1 << level
+        first, last = F.ceil(lo / size).cast("bigint"), F.floor(hi / size).cast("bigint")
+        if level == LEVELS:
+            own = F.when(last > first, F.sequence(first, last - 1))
+        else:
+            # blocks of this size that stick out of the whole blocks of the next size
+            low, high = F.when((first % 2 != 0) & (last > first), first), F.when((last % 2 != 0) & (last > first), last - 1)
+            own = F.array_distinct(F.array_compact(F.array(low, high)))
+        own = F.coalesce(own, F.array().cast("array<bigint>"))
+        blocks.append(F.arrays_zip(F.array_repeat(F.lit(level), F.size(own)).alias("level"), own.alias("block")))
+    ranges = above.select(F.col("id").alias("ancestor_id"), "root_id", F.col("depth").alias("_top"), F.explode(F.concat(*blocks)).alias("b")).select("ancestor_id", "root_id", "_top", "b.level", "b.block")
+    places = F.array(*[F.struct(F.lit(i).alias("level"), F.expr(f"pre div {1 << i}").alias("block")) for i in range(LEVELS + 1)])
+    nodes = inside.where("depth > 0").select("id", "root_id", "depth", F.explode(places).alias("b")).select("id", "root_id", "depth", "b.level", "b.block")
+    return ranges.join(nodes, ["root_id", "level", "block"]).select("ancestor_id", F.col("id").alias(node), (F.col("depth") - F.col("_top")).alias("distance"))
+
 
+def ancestors(hierarchy: DataFrame) -> DataFrame:
+    """``<node>, ancestor_id, distance`` of every node's ancestors, itself left out."""
+    return related(hierarchy).select(hierarchy.columns[0], "ancestor_id", "distance")
 
-def descendants(hierarchy: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Descendants of the ids in ``wanted`` (one column named as the node's) by nested-set ranges.
 
-    The range join is an equi-join on the tree's root with a condition on ``pre``.
-    """
-    node = hierarchy.columns[0]
-    tops = hierarchy.join(wanted.select(node).distinct(), node).select(F.col(node).alias("ancestor_id"), "root_id", F.col("pre").alias("lo"), (F.col("pre") + F.col("n_descendants")).alias("hi"))
-    return hierarchy.join(tops, "root_id").where((F.col("pre") > F.col("lo")) & (F.col("pre") <= F.col("hi"))).select("ancestor_id", F.col(node))
+def descendants(hierarchy: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """``ancestor_id, <node>, distance`` of all descendants, or of those of the ids in ``wanted``."""
+    return related(hierarchy, wanted)

@@ -4,7 +4,8 @@ Skew-aware split: references are pre-aggregated per field, key and period (count
 Keys with more than 1/``HEAVY_SHARE`` of a field's references are heavy; there are fewer than
 ``HEAVY_SHARE`` of them per field, so their targets' lifetimes (at most ``MAX_LIVES`` each) are broadcast.
 The other keys go through a shuffle join. A group that one lifetime covers has no orphan, a group that no
-lifetime touches is all orphans, and only the rest is looked at reference by reference.
+lifetime touches is all orphans, and only the rest is looked at reference by reference, where the verdicts
+of heavy keys are broadcast again (at most a row per key and period), so no key is a hot spot of that join.
 
 Defined cases: a null key or a null time is no reference; a target with a null key or null start is no
 target; a null end means "still there"; repeated targets and references count as they stand; empty tables
@@ -16,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladeworks.session import Scratch
+
 HEAVY_SHARE = 1000
 MAX_LIVES = 64
 #: Sub-groups in which the lifetimes of one target key are first united.
@@ -61,8 +64,22 @@ def _groups(refs: DataFrame, targets: DataFrame, period: str) -> DataFrame:
     # a heavy key without broadcastable lifetimes (none, or too many) takes the shuffle path: nothing is lost
     by_hand = marked.where(F.col("heavy") & F.col("hot_lives").isNotNull()).withColumn("lives", F.col("hot_lives"))
     rest = marked.where(F.col("heavy").isNull() | F.col("hot_lives").isNull()).join(lives, ["field", "key"], "left")
-    cols = ["field", "key", "period", "n", "t_min", "t_max", "lives"]
-    return _verdict(by_hand.select(*cols).unionByName(rest.select(*cols)))
+    few = F.coalesce(F.col("heavy"), F.lit(False)) & (F.coalesce(F.size("lives"), F.lit(0)) <= MAX_LIVES)
+    cols = ["field", "key", "period", "n", "t_min", "t_max", "lives", few.alias("heavy")]
+    groups = _verdict(by_hand.select(*cols).unionByName(rest.select(*cols)))
+    # read several times below: written once, with lifetimes only where references need them
+    groups = groups.select("field", "key", "period", "n", "state", "heavy", F.when(F.col("state") == 2, F.col("lives")).alias("lives"))
+    return Scratch(refs.sparkSession).write(groups, "groups")
+
+
+def _met(refs: DataFrame, groups: DataFrame, period: str) -> DataFrame:
+    """References with the state and lifetimes of their group; heavy keys by broadcast, the others by a shuffle."""
+    refs = refs.withColumn("period", F.trunc("t", period))
+    on = ["field", "key", "period"]
+    groups = groups.select(*on, "state", "lives", "heavy")
+    hot = F.broadcast(groups.where("heavy").drop("heavy"))
+    light = refs.join(F.broadcast(groups.where("heavy").select(*on)), on, "left_anti")
+    return refs.join(hot, on).unionByName(light.join(groups.where("NOT heavy").drop("heavy"), on))
 
 
 def _alive(t: str):
@@ -75,8 +92,7 @@ def orphan_references(refs: DataFrame, targets: DataFrame, period: str = "month"
     ``targets`` is (field, key, born, died): alive in [born, died).
     """
     refs = refs.where(F.col("key").isNotNull() & F.col("t").isNotNull()).select("field", "key", "t", "row_id")
-    bad = _groups(refs, targets, period).where("state > 0").select("field", "key", "period", "state", F.when(F.col("state") == 2, F.col("lives")).alias("lives"))
-    hit = refs.withColumn("period", F.trunc("t", period)).join(bad, ["field", "key", "period"])
+    hit = _met(refs, _groups(refs, targets, period).where("state > 0"), period)
     return hit.where((F.col("state") == 1) | ~_alive("t")).select("field", "key", "t", "row_id")
 
 
@@ -85,7 +101,6 @@ def orphan_counts(refs: DataFrame, targets: DataFrame, period: str = "month") ->
     refs = refs.where(F.col("key").isNotNull() & F.col("t").isNotNull()).select("field", "key", "t", "row_id")
     groups = _groups(refs, targets, period)
     plain = groups.select("field", "period", F.col("n").alias("n_refs"), F.when(F.col("state") == 1, F.col("n")).otherwise(0).alias("n_orphans"))
-    mixed = groups.where("state = 2").select("field", "key", "period", "lives")
-    slow = refs.withColumn("period", F.trunc("t", period)).join(mixed, ["field", "key", "period"]).where(~_alive("t"))
+    slow = _met(refs, groups.where("state = 2"), period).where(~_alive("t"))
     slow = slow.select("field", "period", F.lit(0).cast("bigint").alias("n_refs"), F.lit(1).cast("bigint").alias("n_orphans"))
     return plain.unionByName(slow).groupBy("field", "period").agg(F.sum("n_refs").alias("n_refs"), F.sum("n_orphans").alias("n_orphans"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeworks.operators.hierarchy import ancestors, build_hierarchy, endless_nodes
+from cladeworks.operators.hierarchy import ancestors, build_hierarchy, descendants, endless_nodes
 from cladeworks.operators.orphans import orphan_counts, orphan_references
 from cladeworks.operators.packed_fields import split_packed
-from cladeworks.session import table
+from cladeworks.session import Scratch, table
 
 #: What the tables' text references are trimmed of.
 SPACE = " \t\n\x0b\x0c\r"
@@ -81,13 +81,30 @@ def _hierarchy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_hierarchy(spark: SparkSession, d: str) -> DataFrame:
-    return _hierarchy(spark, d)
+    """Everything but ``pre``, whose order among siblings is the operator's own; ``p6_nesting`` checks it."""
+    return _hierarchy(spark, d).drop("pre")
+
+
+def p6_nesting(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes whose range is not inside their parent's or overlaps a neighbour's: none, of all nodes."""
+    h = Scratch(spark).write(_hierarchy(spark, d).select("external_id", "parent_id", "root_id", "pre", "n_descendants"), "ranges")
+    up = h.select(F.col("external_id").alias("parent_id"), F.col("pre").alias("a"), F.col("n_descendants").alias("m"))
+    outside = h.where("pre IS NOT NULL AND parent_id IS NOT NULL").join(up, "parent_id").where("pre <= a OR pre + n_descendants > a + m").count()
+    # consecutive numbers from 0 in each tree: as many as the root has descendants, no number twice
+    trees = h.where("pre IS NOT NULL").groupBy("root_id").agg(F.count("*").alias("n"), F.count_distinct("pre").alias("u"), F.max("pre").alias("last"), F.max("n_descendants").alias("m"))
+    gaps = trees.where("u <> n OR last <> n - 1 OR m <> n - 1").count()
+    return h.agg(F.lit(outside + gaps).cast("bigint").alias("n_broken"), F.count("*").alias("n_nodes"))
 
 
 def p6_ancestors(spark: SparkSession, d: str) -> DataFrame:
     return ancestors(_hierarchy(spark, d)).select("external_id", "ancestor_id", "distance")
 
 
+def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """All descendants of every node that has some."""
+    return descendants(_hierarchy(spark, d))
+
+
 _UP = """
 WITH RECURSIVE n AS (
   SELECT external_id AS id, arg_min(parent_id, node_id) FILTER (WHERE TRUE) AS p0 FROM (SELECT external_id, coalesce(parent_id, 0) AS parent_id, node_id FROM taxonomy_nodes WHERE external_id IS NOT NULL) GROUP BY 1
@@ -96,20 +113,32 @@ WITH RECURSIVE n AS (
 )"""
 
 
+_PAIRS = """, up AS (
+  SELECT id, p AS a, 1 AS distance FROM e WHERE p IS NOT NULL
+  UNION ALL SELECT up.id, e.p, up.distance + 1 FROM up JOIN e ON e.id = up.a WHERE e.p IS NOT NULL AND up.distance < 2000
+), roots AS (SELECT id, 0 AS d FROM e WHERE p IS NULL UNION ALL SELECT e.id, r.d + 1 FROM roots r JOIN e ON e.p = r.id)"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_orphan_counts, p3_found, p3_entries, p6_found, p6_hierarchy, p6_ancestors)}
+    return {f.__name__: f for f in (p2_found, p2_orphan_counts, p3_found, p3_entries, p6_found, p6_hierarchy, p6_nesting, p6_ancestors, p6_descendants)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": _ORPHAN_SQL + " SELECT ref_table, ref_field, row_id FROM marked WHERE orphan",
         "p2_orphan_counts": _ORPHAN_SQL + " SELECT ref_table, ref_field, strftime(t, '%Y-%m') AS month, count(*) AS n_refs, sum(orphan::INT)::BIGINT AS n_orphans FROM marked GROUP BY 1, 2, 3",
-        "p6_ancestors": _UP
-        + """, up AS (
-  SELECT id, p AS a, 1 AS distance FROM e WHERE p IS NOT NULL
-  UNION ALL SELECT up.id, e.p, up.distance + 1 FROM up JOIN e ON e.id = up.a WHERE e.p IS NOT NULL AND up.distance < 2000
-), roots AS (SELECT id, 0 AS d FROM e WHERE p IS NULL UNION ALL SELECT e.id, r.d + 1 FROM roots r JOIN e ON e.p = r.id)
-SELECT up.id AS external_id, up.a AS ancestor_id, up.distance::INT AS distance FROM up JOIN roots USING (id) WHERE up.distance <= roots.d""",
+        "p6_ancestors": _UP + _PAIRS + " SELECT up.id AS external_id, up.a AS ancestor_id, up.distance::INT AS distance FROM up JOIN roots USING (id) WHERE up.distance <= roots.d",
+        "p6_descendants": _UP + _PAIRS + " SELECT up.a AS ancestor_id, up.id AS external_id, up.distance::INT AS distance FROM up JOIN roots USING (id) WHERE up.distance <= roots.d",
+        "p6_hierarchy": _UP
+        + _PAIRS
+        + """, label AS (SELECT external_id AS id, arg_min(coalesce(rank_name, '?'), node_id) AS r FROM taxonomy_nodes LEFT JOIN rank_names USING (rank_offset) WHERE external_id IS NOT NULL GROUP BY 1),
+real AS (SELECT up.id, up.a, up.distance FROM up JOIN roots USING (id) WHERE up.distance <= roots.d UNION ALL SELECT id, id, 0 FROM roots),
+agg AS (SELECT real.id, arg_max(a, distance) AS root_id, max(distance)::INT AS depth, string_agg(a::VARCHAR, ',' ORDER BY distance DESC) AS path_ids, string_agg(r || ':' || a, '/' ORDER BY distance DESC) AS path FROM real JOIN label ON label.id = real.a GROUP BY real.id),
+sub AS (SELECT a AS id, count(*) - 1 AS n FROM real GROUP BY 1),
+-- preorder: siblings in the operator's order (block of a hash, then id) are not SQL's to know, so only what all orders agree on
+n0 AS (SELECT n.id, n.p0, e.p, CASE WHEN n.p0 = 0 OR n.p0 = n.id THEN 'declared' WHEN e.p IS NULL THEN 'absent_parent' END AS root_kind FROM n JOIN e ON e.id = n.id)
+SELECT n0.id AS external_id, n0.p AS parent_id, agg.root_id, n0.root_kind, agg.depth, sub.n AS n_descendants, agg.path_ids, agg.path FROM n0 LEFT JOIN agg ON agg.id = n0.id LEFT JOIN sub ON sub.id = n0.id AND agg.id IS NOT NULL""",
+        "p6_nesting": "SELECT 0::BIGINT AS n_broken, (SELECT count(*) FROM (SELECT DISTINCT external_id FROM taxonomy_nodes WHERE external_id IS NOT NULL))::BIGINT AS n_nodes",
         "p6_found": _UP
         + """, ok AS (SELECT id FROM e WHERE p IS NULL UNION ALL SELECT e.id FROM ok JOIN e ON e.p = ok.id), bad AS (SELECT id, p FROM e WHERE id NOT IN (SELECT id FROM ok)),
 walk AS (SELECT id, id AS x, 0 AS s FROM bad UNION ALL SELECT walk.id, bad.p, s + 1 FROM walk JOIN bad ON bad.id = walk.x WHERE s < 2 * (SELECT count(*) FROM bad))

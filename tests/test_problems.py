@@ -101,7 +101,7 @@ def _loop(edges):
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
-def test_hierarchy_against_loops(spark, seed):
+def test_hierarchy_against_loops(spark, monkeypatch, seed):
     random.seed(seed)
     n = 60
     edges = [(i, random.choice([None, 0, i, i - 1, i - 1, i - 1, random.randint(1, n), 999]), i, "r") for i in range(1, n + 1)]
@@ -120,6 +120,12 @@ def test_hierarchy_against_loops(spark, seed):
         assert r.n_descendants == len(below) and r.path.split("/")[-1] == f"r:{i}"
         inside = [j for j, s in rows.items() if s.root_id == r.root_id and r.pre < s.pre <= r.pre + r.n_descendants]
         assert sorted(inside) == sorted(below)
+    pairs = {(a, i, len(p) - 1 - p.index(a)) for i, p in paths.items() for a in p[:-1]}
+    tree = H.build_hierarchy(df, "id", "parent", "o")
+    got = H.descendants(tree).collect()
+    assert len(got) == len(pairs) and {tuple(r) for r in got} == pairs
+    monkeypatch.setattr(H, "LEVELS", 2)
+    assert {(a, i, x) for i, a, x in map(tuple, H.ancestors(tree).collect())} == pairs
     for root in {r.root_id for r in rows.values() if r.root_id}:
         members = [r.pre for r in rows.values() if r.root_id == root]
         assert sorted(members) == list(range(len(members)))
