@@ -1,36 +1,64 @@
 """Assign a taxon to each read by a weighted vote over the tree.
 
-Token runs are joined to the index on the minimizer and gathered per read (a read's runs only). With hits H
-(taxon -> tokens): the score of a hit taxon is the sum of H over its path; the candidate is the lowest common
+Reads are cut into token runs in chunks. A chunk sends each of its distinct minimizers once to the index
+(one shuffle on the minimizer, no hot key: a frequent one comes once per chunk) and waits as one packed row; the taxa
+found come back to it (one shuffle on the chunk). There, whole arrays at a time: with hits H
+(taxon -> tokens) the score of a hit taxon is the sum of H over its path; the candidate is the lowest common
 ancestor of all best taxa; the call is the deepest node at or above it whose clade holds at least
-ceil(confidence * tokens). All of this is one projection per read.
+ceil(confidence * tokens). The tree is broadcast as preorder ranges up to ``tree.MOST_NODES`` nodes; beyond, the hits
+are joined to their paths and voted on by expressions (``resolve``), with equal results.
 
 Defined cases: reads without tokens are unclassified with the hit list "0:0"; an empty index classifies
-nothing; null sequences count as empty; every read of the input comes out once (read ids are distinct).
+nothing; null sequences count as empty; every read of the input comes out once (read ids are distinct, or
+shared by mates).
 """
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cladeworks.functions.hashing import unsigned_at_least, with_hash
 from cladeworks.functions.kmers import Scheme
 from cladeworks.operators.taxonomy import lca_of_paths
-from cladeworks.operators.tokens import token_runs
-from cladeworks.session import Scratch
+from cladeworks.operators.tokens import frames_of, sequence_runs
+from cladeworks.operators.tree import Tree, small_tree
 
 MATE_BORDER, FRAME_BORDER = "|:|", "-:-"
+#: Letters of reads packed into one row.
+CHUNK = 1 << 18
 
 
 def mask_quality(reads: DataFrame, minimum: int) -> DataFrame:
-    """Letters of base quality below ``minimum`` become x; rows need ``seq`` and ``qual`` of equal length."""
+    """Letters of base quality below ``minimum`` become x; rows need ``seq`` and ``qual`` of equal length.
+
+    Rows without quality or with an empty sequence stay as they are.
+    """
     if minimum <= 0:
         return reads
-    differ = F.raise_error(F.lit("sequence and quality differ in length"))
-    masked = F.concat_ws("", F.zip_with(F.split("seq", ""), F.split("qual", ""), lambda s, q: F.when(F.ascii(q) - 33 < minimum, F.lit("x")).otherwise(s)))
-    new = F.when(F.col("qual").isNull() | (F.col("seq") == ""), F.col("seq")).when(F.length("seq") != F.length("qual"), differ).otherwise(masked)
-    return reads.withColumn("seq", new)
+    at = reads.columns.index("seq"), reads.columns.index("qual")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seqs, quals = (b.column(i).to_pylist() for i in at)
+            new = []
+            for s, q in zip(seqs, quals):
+                if s and q is not None:
+                    letters, quality = (np.frombuffer(x.encode("latin-1", "replace"), np.uint8) for x in (s, q))
+                    if len(letters) != len(quality):
+                        raise ValueError("sequence and quality differ in length")
+                    s = np.where(quality < 33 + minimum, np.uint8(ord("x")), letters).tobytes().decode("latin-1")
+                new.append(s)
+            yield b.set_column(at[0], b.schema.field(at[0]), pa.array(new, b.schema.field(at[0]).type))
+
+    return reads.mapInArrow(run, reads.schema)
 
 
 def pair_mates(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -123,49 +151,186 @@ def lookup(runs: DataFrame, index: DataFrame, least_hash: int = 0) -> DataFrame:
     return hit.unionByName(rest)
 
 
-def classify(reads: DataFrame, index: DataFrame, taxonomy: DataFrame, scheme: Scheme, confidence: float = 0.0, min_hit_groups: int = 2, quick: bool = False, translated: bool = False, least_hash: int = 0, compat: bool = True, denominator: str = "tokens") -> DataFrame:
+def _per_read(reads: DataFrame) -> DataFrame:
+    """``read_id, seqs``: the mates' sequences in order. Reads without mates are not shuffled."""
+    paired = reads.where("mate > 0").limit(1).count() > 0
+    if not paired:
+        return reads.select("read_id", F.array("seq").alias("seqs"))
+    mates = F.sort_array(F.collect_list(F.struct("mate", F.coalesce("seq", F.lit("")).alias("seq"))))
+    return reads.groupBy("read_id").agg(mates.alias("m")).select("read_id", F.col("m.seq").alias("seqs"))
+
+
+def _pack(**arrays: np.ndarray) -> bytes:
+    out = io.BytesIO()
+    np.savez(out, **arrays)
+    return out.getvalue()
+
+
+def _chunk_rows(source: DataFrame, scheme: Scheme, translated: bool) -> DataFrame:
+    """``minimizer, chunk, slot, ids, data``: a row per distinct minimizer of a chunk (data null) and a packed
+    row per chunk, whose minimizer is negative and in no index."""
+    kind = source.schema["read_id"].dataType
+    arrow = pa.list_(to_arrow_type(kind))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for b in batches:
+            ids, lists = b.column(0), b.column(1).to_pylist()
+            size, first = 0, 0
+            for i, seqs in enumerate(lists):
+                size += sum(len(x or "") for x in seqs)
+                if size >= CHUNK or i + 1 == len(lists):
+                    number += 1
+                    yield chunk(number, ids.slice(first, i + 1 - first), lists[first : i + 1])
+                    size, first = 0, i + 1
+
+    def chunk(number: int, ids: pa.Array, lists: list[list[str | None]]) -> pa.RecordBatch:
+        flat = [x or "" for seqs in lists for x in seqs]
+        read = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        mate = np.concatenate([np.arange(len(x)) for x in lists]) if flat else read
+        seqs, row, frame = frames_of(flat, translated)
+        o, m, amb, n, lookup = sequence_runs(seqs, scheme)
+        distinct, slot = np.unique(m[~amb], return_inverse=True)
+        of = np.full(len(o), -1, np.int32)
+        of[~amb] = slot
+        data = _pack(read=read[row[o]].astype(np.int32), mate=mate[row[o]].astype(np.int32), frame=frame[o].astype(np.int8), n=n.astype(np.int64), slot=of, lookup=lookup, seq_read=read.astype(np.int32), letters=np.array([len(x) for x in flat], np.int64))
+        k = len(distinct)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.r_[distinct.view(np.int64), -1 - number]), pa.array(np.full(k + 1, number)), pa.array(np.arange(k + 1, dtype=np.int32)), pa.array([None] * k + [ids.to_pylist()], arrow), pa.array([None] * k + [data], pa.binary())],
+            ["minimizer", "chunk", "slot", "ids", "data"],
+        )
+
+    return source.mapInArrow(run, f"minimizer bigint, chunk bigint, slot int, ids array<{kind.simpleString()}>, data binary")
+
+
+def _hit_texts(read: np.ndarray, border: np.ndarray, code: np.ndarray, n: np.ndarray, reads: int) -> list[str]:
+    """Hit list of every read; codes are tax ids, 0 for none and -1 for ambiguous; border 1 (mate), 2 (frame) or 0."""
+    texts = ["0:0"] * reads
+    if not len(read):
+        return texts
+    new = np.r_[True, (read[1:] != read[:-1]) | (code[1:] != code[:-1])] | (border > 0)
+    at = np.flatnonzero(new)
+    total = np.add.reduceat(n, at)
+    distinct, of = np.unique(code[at], return_inverse=True)
+    names = ["A" if c < 0 else str(c) for c in distinct.tolist()]
+    marks = ["", MATE_BORDER + " ", FRAME_BORDER + " "]
+    items = [f"{marks[x]}{names[c]}:{k}" for x, c, k in zip(border[at].tolist(), of.tolist(), total.tolist())]
+    r = read[at]
+    edges = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+    for a, b in zip(edges.tolist(), np.r_[edges[1:], len(r)].tolist()):
+        texts[r[a]] = " ".join(items[a:b]) + (" " if code[at[b - 1]] < 0 else "")
+    return texts
+
+
+_COUNTS = "length string, n_tokens bigint, n_ambiguous bigint, hit_groups bigint, total bigint, quick bigint, text string"
+
+
+def classify(reads: DataFrame, index: DataFrame, taxonomy: DataFrame, scheme: Scheme, confidence: float = 0.0, min_hit_groups: int = 2, quick: bool = False, translated: bool = False, least_hash: int = 0, compat: bool = True, denominator: str = "tokens", min_quality: int = 0) -> DataFrame:
     """One row per read: ``read_id, status, taxon, length, n_tokens, n_ambiguous, hit_groups, candidate,
     clade_hits, hits``.
 
     ``compat`` keeps known habits of the search this follows: translated searches count 3 tokens more per
     mate, ambiguous tokens count in the denominator (``denominator="documented"`` leaves them out).
-    ``quick`` calls the taxon of the first look-up that reaches ``min_hit_groups`` groups.
+    ``quick`` calls the taxon of the first look-up that reaches ``min_hit_groups`` groups. ``least_hash`` is that of a
+    downsampled index: minimizers it cannot hold are not looked up. ``min_quality`` masks letters by ``qual``.
     """
     if not 0 <= confidence <= 1 or min_hit_groups < 0:
         raise ValueError("confidence must be within 0 and 1, min_hit_groups not negative")
     if denominator not in ("tokens", "documented"):
         raise ValueError("denominator must be tokens or documented")
-    # read four times below: written once instead of scanned and joined four times
-    found = Scratch(reads.sparkSession).write(lookup(token_runs(reads, scheme, translated), index, least_hash).drop("minimizer", "skipped"), "found")
-    code = F.when(F.col("ambiguous"), "A").otherwise(F.coalesce(F.col("taxon").cast("string"), F.lit("0")))
-    group = F.col("is_lookup") & F.col("taxon").isNotNull()
-    per_read = found.groupBy("read_id").agg(F.sum(F.col("n").cast("bigint")).alias("n_tokens"), F.sum(F.when(F.col("ambiguous"), F.col("n")).otherwise(0).cast("bigint")).alias("n_ambiguous"), F.sum(F.when(group, 1).otherwise(0)).alias("hit_groups"))
-    w = Window.partitionBy("read_id").orderBy("mate", "frame", "run")
-    border = F.when(F.lag("mate").over(w) != F.col("mate"), MATE_BORDER[0]).when(F.lag("frame").over(w) != F.col("frame"), FRAME_BORDER[0])
-    texts = hit_lists(found.select("read_id", F.struct("mate", "frame", "run").alias("order"), border.alias("border"), code.alias("code"), F.col("n").cast("bigint").alias("n")))
-    paths = taxonomy.select(F.col("tax_id").alias("taxon"), F.col("path").cast("array<bigint>").alias("path"))
-    counts = found.where("taxon IS NOT NULL").groupBy("read_id", "taxon").agg(F.sum(F.col("n").cast("bigint")).alias("n")).join(paths, "taxon")
-    hits = counts.groupBy("read_id").agg(F.collect_list(F.struct("taxon", "n", "path")).alias("hits"))
-    lengths = reads.groupBy("read_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("mate", F.coalesce(F.length("seq"), F.lit(0)).alias("n")))), lambda x: x["n"].cast("string")), "|").alias("length"), F.count("*").alias("mates"))
-    d = lengths.join(per_read, "read_id", "left").join(hits, "read_id", "left").join(texts.withColumnRenamed("hits", "text"), "read_id", "left")
-    d = d.withColumn("hits", F.coalesce("hits", F.array().cast(d.schema["hits"].dataType)))
-    for c in ("n_tokens", "n_ambiguous", "hit_groups"):
-        d = d.withColumn(c, F.coalesce(c, F.lit(0)).cast("bigint"))
-    total = F.col("n_tokens")
-    if translated and compat:
-        total = total + 3 * F.col("mates")
-    if denominator == "documented":
-        total = total - F.col("n_ambiguous")
-    d = resolve(d.withColumn("_total", total), "hits", "_total", confidence)
-    if quick:
-        nth = F.row_number().over(Window.partitionBy("read_id").orderBy("mate", "frame", "run"))
-        deciding = found.where(group).withColumn("nth", nth).where(F.col("nth") == max(min_hit_groups, 1)).select("read_id", F.col("taxon").alias("quick_call"))
-        d = d.join(deciding, "read_id", "left").withColumn("call", F.col("quick_call"))
+    tree = small_tree(taxonomy)
+    shared = reads.sparkSession.sparkContext.broadcast(tree)
+    source = _per_read(mask_quality(reads, min_quality))
+    kind = source.schema["read_id"].dataType
+    rows = _chunk_rows(source, scheme, translated)
+    if least_hash:
+        rows = with_hash(rows, "minimizer").where(F.col("data").isNotNull() | unsigned_at_least("hash", least_hash)).drop("hash")
+    found = rows.join(index.select("minimizer", F.col("taxon").cast("bigint").alias("taxon")), "minimizer", "left").where("data IS NOT NULL OR taxon IS NOT NULL")
+    found = found.select("chunk", "slot", "taxon", "ids", "data").repartition("chunk").sortWithinPartitions("chunk", F.col("data").isNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, packed, ids, held = None, None, None, []
+        for b in batches:
+            chunk = b.column(0).to_numpy()
+            edges = np.r_[np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]]), len(chunk)] if len(chunk) else [0]
+            for x, y in zip(edges[:-1], edges[1:]):
+                if chunk[x] != now:
+                    if packed is not None:
+                        yield answer(packed, ids, held)
+                    now, held = chunk[x], []
+                    # the packed row comes first
+                    packed, ids = b.column(4)[x].as_py(), b.column(3)[x].values
+                    x += 1
+                part = b.slice(x, y - x)
+                held.append((part.column(1).to_numpy(), part.column(2).to_numpy(zero_copy_only=False)))
+        if packed is not None:
+            yield answer(packed, ids, held)
+
+    def answer(data: bytes, ids: pa.Array, held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        z = np.load(io.BytesIO(data))
+        read, n, slot, lookup = z["read"], z["n"], z["slot"], z["lookup"]
+        reads = len(ids)
+        taxa = np.zeros(int(slot.max(initial=-1)) + 1, np.int64)
+        for s, t in held:
+            taxa[s] = t
+        amb = slot < 0
+        tax = np.where(amb, 0, taxa[np.maximum(slot, 0)]) if len(taxa) else np.zeros(len(slot), np.int64)
+        hit = tax > 0
+        count = lambda w, at: np.bincount(read[at], weights=None if w is None else w[at], minlength=reads).astype(np.int64)
+        n_tokens, n_amb, group = count(n, slice(None)), count(n, amb), hit & lookup
+        groups = count(None, group)
+        mates = np.bincount(z["seq_read"], minlength=reads)
+        total = n_tokens + (3 * mates if translated and compat else 0) - (n_amb if denominator == "documented" else 0)
+        lengths = [[] for _ in range(reads)]
+        for r, x in zip(z["seq_read"].tolist(), z["letters"].tolist()):
+            lengths[r].append(str(x))
+        # the taxon of the look-up that makes the wanted number of groups
+        at = np.flatnonzero(group)
+        nth = np.arange(len(at)) - np.searchsorted(read[at], read[at], "left") + 1
+        deciding = at[nth == max(min_hit_groups, 1)]
+        fast = np.zeros(reads, np.int64)
+        fast[read[deciding]] = tax[deciding]
+        same = np.r_[False, read[1:] == read[:-1]] if len(read) else np.zeros(0, bool)
+        border = np.zeros(len(read), np.int8)
+        if len(read):
+            mate, frame = (np.r_[False, z[c][1:] != z[c][:-1]] for c in ("mate", "frame"))
+            border = np.where(same & mate, 1, np.where(same & frame, 2, 0)).astype(np.int8)
+        texts = _hit_texts(read, border, np.where(amb, -1, tax), n, reads)
+        out = [ids, pa.array(["|".join(x) for x in lengths], pa.string()), *[pa.array(x) for x in (n_tokens, n_amb, groups, total)], pa.array(fast, mask=fast == 0), pa.array(texts, pa.string())]
+        tree: Tree | None = shared.value
+        if tree is None:
+            order = np.lexsort((tax, read))
+            order = order[hit[order]]
+            r, t = read[order], tax[order]
+            first = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (t[1:] != t[:-1])]) if len(r) else order
+            sums = np.add.reduceat(n[order], first) if len(r) else order
+            lists = pa.StructArray.from_arrays([pa.array(t[first], pa.int64()), pa.array(sums, pa.int64())], ["taxon", "n"])
+            offsets = np.searchsorted(r[first], np.arange(reads + 1)).astype(np.int32)
+            return pa.RecordBatch.from_arrays([*out, pa.ListArray.from_arrays(pa.array(offsets), lists)], [*names, "own"])
+        node = tree.places(tax)
+        hit &= node >= 0
+        need = np.ceil(confidence * total).astype(np.int64)
+        best, call, under = tree.vote(read[hit], node[hit], n[hit], need)
+        ids_ = [pa.array(tree.ids(x), mask=x < 0) for x in (best, call)]
+        return pa.RecordBatch.from_arrays([*out, *ids_, pa.array(under, mask=call < 0)], [*names, "candidate", "call", "clade_hits"])
+
+    names = ["read_id", "length", "n_tokens", "n_ambiguous", "hit_groups", "total", "quick", "text"]
+    fields = f"read_id {kind.simpleString()}, {_COUNTS}"
+    if tree is not None:
+        d = found.mapInArrow(run, f"{fields}, candidate bigint, call bigint, clade_hits bigint")
     else:
-        d = d.withColumn("call", F.when(F.col("hit_groups") >= min_hit_groups, F.col("call")))
-    text = F.coalesce("text", F.lit("0:0"))
+        d = found.mapInArrow(run, f"{fields}, own array<struct<taxon:bigint,n:bigint>>")
+        paths = taxonomy.select(F.col("tax_id").cast("bigint").alias("taxon"), F.col("path").cast("array<bigint>").alias("path"))
+        hits = d.select("read_id", F.explode("own").alias("o")).select("read_id", "o.taxon", "o.n").join(paths, "taxon")
+        hits = hits.groupBy("read_id").agg(F.collect_list(F.struct("taxon", "n", "path")).alias("hits"))
+        d = d.drop("own").join(hits, "read_id", "left")
+        d = resolve(d.withColumn("hits", F.coalesce("hits", F.array().cast(d.schema["hits"].dataType))), "hits", "total", confidence)
+    text = F.col("text")
     if quick:
+        d = d.withColumn("call", F.col("quick"))
         text = F.when(F.col("call").isNotNull(), F.concat(F.col("call").cast("string"), F.lit(":Q"))).otherwise(text)
+    else:
+        d = d.withColumn("call", F.when(F.col("hit_groups") >= min_hit_groups, F.col("call")))
     return d.select("read_id", F.when(F.col("call").isNotNull(), "C").otherwise("U").alias("status"), F.col("call").alias("taxon"), "length", "n_tokens", "n_ambiguous", "hit_groups", "candidate", "clade_hits", text.alias("hits"))
 
 

@@ -5,15 +5,21 @@
 Unclassified is null, never a node.
 
 Defined cases: the root is the node without a parent, or its own parent (several roots give several trees);
-nodes on a cycle or under an absent parent are left out; repeated rows of a node count once; empty input
-gives no rows.
+nodes on a cycle or under an absent parent are left out; of repeated rows of a node the least by parent, then
+rank, counts as a whole; empty input gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from cladeworks.operators.tree import small_tree
 from cladeworks.session import Scratch
 
 MAX_ROUNDS = 40
@@ -26,7 +32,7 @@ def build_taxonomy(nodes: DataFrame, names: DataFrame | None = None) -> DataFram
     rounds are the logarithm of the depth, each one written to the shared folder.
     """
     scratch = Scratch(nodes.sparkSession)
-    n = nodes.where("tax_id IS NOT NULL").groupBy("tax_id").agg(F.min("parent_tax_id").alias("parent_tax_id"), F.min("rank").alias("rank"))
+    n = nodes.where("tax_id IS NOT NULL").groupBy("tax_id").agg(F.min(F.struct("parent_tax_id", "rank")).alias("r")).select("tax_id", "r.parent_tax_id", "r.rank")
     n = n.withColumn("parent_tax_id", F.when((F.col("parent_tax_id") == F.col("tax_id")) | (F.col("parent_tax_id") == 0), None).otherwise(F.col("parent_tax_id")))
     n = scratch.write(n, "nodes")
     state = scratch.write(n.select("tax_id", F.col("parent_tax_id").alias("jump"), F.array("tax_id").alias("path")), "paths")
@@ -105,10 +111,32 @@ def lca_by_group(df: DataFrame, keys: list[str], taxon: str, taxonomy: DataFrame
 
 
 def resolve_ends(ends: DataFrame, keys: list[str], taxonomy: DataFrame, taxon: str) -> DataFrame:
-    lo = taxonomy.select(F.col("pre").alias("lo"), F.col("path").alias("_pl"))
-    hi = taxonomy.select(F.col("pre").alias("hi"), F.col("path").alias("_ph"))
-    pairs = ends.select("lo", "hi").distinct().join(lo, "lo").join(hi, "hi").select("lo", "hi", lca_of_paths(F.col("_pl"), F.col("_ph")).alias(taxon))
-    return ends.join(pairs, ["lo", "hi"]).select(*keys, taxon)
+    """``*keys, taxon`` of rows with the least and greatest preorder number ``lo, hi`` of a group.
+
+    A tree of up to ``MOST_NODES`` nodes is broadcast and the rows stay where they are. Beyond it, groups with one
+    taxon are named by a join on it, and only the distinct pairs of the others meet the paths.
+    """
+    tree = small_tree(taxonomy)
+    if tree is None:
+        names = taxonomy.select(F.col("pre").alias("lo"), F.col("tax_id").alias(taxon))
+        lo = taxonomy.select(F.col("pre").alias("lo"), F.col("path").alias("_pl"))
+        hi = taxonomy.select(F.col("pre").alias("hi"), F.col("path").alias("_ph"))
+        differ = ends.where("lo <> hi")
+        pairs = differ.select("lo", "hi").distinct().join(lo, "lo").join(hi, "hi").select("lo", "hi", lca_of_paths(F.col("_pl"), F.col("_ph")).alias(taxon))
+        return ends.where("lo = hi").join(names, "lo").select(*keys, taxon).unionByName(differ.join(pairs, ["lo", "hi"]).select(*keys, taxon))
+    shared = ends.sparkSession.sparkContext.broadcast(tree)
+    rows = ends.select(*keys, "lo", "hi")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keys)])
+    kind = taxonomy.schema["tax_id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = shared.value
+        for b in batches:
+            low, high = (b.column(i).to_numpy().astype(np.int64) - 1 for i in (len(keys), len(keys) + 1))
+            top = tree.common(low, high)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array(tree.ids(top), mask=top < 0).cast(to_arrow_type(kind))], [*keys, taxon])
+
+    return rows.mapInArrow(run, f"{fields}, `{taxon}` {kind.simpleString()}")
 
 
 class Taxonomy:

@@ -21,20 +21,69 @@ from cladeworks.functions.kmers import Scheme, chunks
 from cladeworks.functions.translate import six_frames
 
 
-def _runs(owner: np.ndarray, m: np.ndarray, amb: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(first token, length, is_lookup) of the runs of equal tokens within one sequence."""
-    key = np.where(amb, 0, m)
-    new = np.r_[True, (owner[1:] != owner[:-1]) | (amb[1:] != amb[:-1]) | (key[1:] != key[:-1])]
-    first = np.flatnonzero(new)
-    n = np.diff(np.r_[first, len(owner)])
-    o, k, a = owner[first], key[first], amb[first]
-    lookup = ~a
+#: Longer sequences are cut into pieces of this many letters, each with the letters before it that its tokens see.
+PIECE = 1 << 20
+
+
+def pieces(seqs: list[str], k: int, limit: int | None = None) -> tuple[list[str], np.ndarray]:
+    """Pieces that together have the tokens of the sequences, and the sequence of each.
+
+    A piece begins k letters early. Its first token is then the last of the piece before: of no consequence for
+    sets of minimizers; ``sequence_runs`` drops it.
+    """
+    limit = limit or PIECE
+    out, rows = [], []
+    for i, s in enumerate(seqs):
+        cuts = range(0, len(s), limit) if len(s) > limit + k else (0,)
+        for at in cuts:
+            out.append(s[max(0, at - k) : at + limit] if len(cuts) > 1 else s)
+            rows.append(i)
+    return out, np.array(rows, np.int64)
+
+
+def sequence_runs(seqs: list[str], scheme: Scheme) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sequence, minimizer, ambiguous, tokens, is_lookup) of the runs of equal tokens, in order."""
+    texts, rows = pieces(seqs, scheme.k)
+    parts = []
+    for first, part in chunks(texts):
+        owner, m, amb = scheme.tokens(part)
+        if not len(owner):
+            continue
+        of = rows[first + owner]
+        piece = first + owner
+        # the first token of a later piece of a sequence is known already
+        later = np.r_[False, rows[1:] == rows[:-1]][piece]
+        keep = ~(later & np.r_[True, piece[1:] != piece[:-1]])
+        of, m, amb = of[keep], np.where(amb, 0, m)[keep], amb[keep]
+        if len(of):
+            parts.append((of, m, amb, *_counted(of, m, amb)))
+    if not parts:
+        none = np.empty(0, np.int64)
+        return none, none.astype(np.uint64), none.astype(bool), none, none.astype(bool)
+    of, m, amb, n = (np.concatenate(x) for x in zip(*[(o[at], m[at], a[at], n) for o, m, a, at, n in parts]))
+    at, _ = _counted(of, m, amb)  # runs that go on in the next piece
+    n = np.add.reduceat(n, at)
+    of, m, amb = of[at], m[at], amb[at]
+    lookup = ~amb
     # compare with the last unambiguous run of the sequence
-    clear = np.flatnonzero(~a)
+    clear = np.flatnonzero(~amb)
     if len(clear) > 1:
-        same = (o[clear[1:]] == o[clear[:-1]]) & (k[clear[1:]] == k[clear[:-1]])
+        same = (of[clear[1:]] == of[clear[:-1]]) & (m[clear[1:]] == m[clear[:-1]])
         lookup[clear[1:][same]] = False
-    return first, n, lookup
+    return of, m, amb, n, lookup
+
+
+def _counted(of: np.ndarray, m: np.ndarray, amb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first element, length) of the runs of equal elements of one sequence."""
+    first = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (amb[1:] != amb[:-1]) | (m[1:] != m[:-1])])
+    return first, np.diff(np.r_[first, len(of)])
+
+
+def frames_of(seqs: list[str], translated: bool) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(sequences to scan, row of each, frame of each)."""
+    if not translated:
+        return seqs, np.arange(len(seqs)), np.zeros(len(seqs), np.int64)
+    return [f for s in seqs for f in six_frames(s)], np.repeat(np.arange(len(seqs)), 6), np.tile(np.arange(6), len(seqs))
 
 
 def token_runs(reads: DataFrame, scheme: Scheme, translated: bool = False) -> DataFrame:
@@ -45,37 +94,33 @@ def token_runs(reads: DataFrame, scheme: Scheme, translated: bool = False) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, part in chunks(b.column(2).to_pylist()):
-                if translated:
-                    seqs = [f for s in part for f in six_frames(s)]
-                    row, frame = np.repeat(np.arange(len(part)), 6), np.tile(np.arange(6), len(part))
-                else:
-                    seqs, row, frame = part, np.arange(len(part)), np.zeros(len(part), int)
-                owner, m, amb = scheme.tokens(seqs)
-                if not len(owner):
+                seqs, row, frame = frames_of(part, translated)
+                o, m, amb, n, lookup = sequence_runs(seqs, scheme)
+                if not len(o):
                     continue
-                at, n, lookup = _runs(owner, m, amb)
-                o = owner[at]
                 start = np.flatnonzero(np.r_[True, o[1:] != o[:-1]])
                 number = np.arange(len(o)) - np.repeat(start, np.diff(np.r_[start, len(o)]))
                 rows = pa.array(first + row[o])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(rows), b.column(1).take(rows), pa.array(frame[o].astype(np.int32)), pa.array(number.astype(np.int32)), pa.array(m[at].view(np.int64), mask=amb[at]), pa.array(n.astype(np.int32)), pa.array(lookup)], names
+                    [b.column(0).take(rows), b.column(1).take(rows), pa.array(frame[o].astype(np.int32)), pa.array(number.astype(np.int32)), pa.array(m.view(np.int64), mask=amb), pa.array(n.astype(np.int32)), pa.array(lookup)], names
                 )
 
     return source.mapInArrow(run, f"read_id {kind}, mate int, frame int, run int, minimizer bigint, n int, is_lookup boolean")
 
 
 def distinct_minimizers(df: DataFrame, key: str, seq: str, scheme: Scheme) -> DataFrame:
-    """``key, minimizer``: the unambiguous minimizers of each row, distinct per row."""
+    """``key, minimizer``: the unambiguous minimizers of each row, distinct per row (of a very long one, per piece)."""
     source = df.select(F.col(key).alias(key), F.col(seq).alias("_s")).where("_s IS NOT NULL")
     kind = source.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, part in chunks(b.column(1).to_pylist()):
-                owner, m = _distinct(*scheme.tokens(part))
+            texts, rows = pieces(b.column(1).to_pylist(), scheme.k)
+            for first, part in chunks(texts):
+                owner, m, amb = scheme.tokens(part)
+                owner, m = _distinct(rows[first + owner], m, amb)
                 if len(owner):
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(first + owner)), pa.array(m.view(np.int64))], [key, "minimizer"])
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner)), pa.array(m.view(np.int64))], [key, "minimizer"])
 
     return source.mapInArrow(run, f"`{key}` {kind}, minimizer bigint")
 
@@ -101,8 +146,9 @@ def minimizer_ends(df: DataFrame, number: str, seq: str, scheme: Scheme) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            numbers = b.column(0).to_numpy()
-            for first, part in chunks(b.column(1).to_pylist()):
+            texts, rows = pieces(b.column(1).to_pylist(), scheme.k)
+            numbers = b.column(0).to_numpy()[rows]
+            for first, part in chunks(texts):
                 owner, m, amb = scheme.tokens(part)
                 keep = ~amb
                 keep[1:] &= (owner[1:] != owner[:-1]) | (m[1:] != m[:-1]) | amb[:-1]
