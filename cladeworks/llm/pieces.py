@@ -31,17 +31,54 @@ def find_gaps(text: str, min_gap: int = MIN_GAP) -> list[tuple[int, int]]:
     return [(m.start(), m.end() - m.start()) for m in re.compile(rf"[^ACGTacgt]{{{min_gap},}}").finditer(text)]
 
 
-def cut(offsets: np.ndarray, boundaries: np.ndarray, limit: int, overlap: int, inside: np.ndarray | None = None) -> list[tuple[int, int, str]]:
+class _Letters:
+    """Prefix sums of n tokens of size 1, without storing them."""
+
+    def __init__(self, n: int):
+        self.n = n
+
+    def __len__(self) -> int:
+        return self.n + 1
+
+    def __getitem__(self, i: int) -> int:
+        return i
+
+    def last_at_most(self, x: int) -> int:
+        return min(int(x), self.n)
+
+    def first_at_least(self, x: int) -> int:
+        return max(int(x), 0)
+
+
+class _Sizes(_Letters):
+    """Prefix sums of tokens of any sizes, searched by bisection."""
+
+    def __init__(self, offsets: np.ndarray):
+        super().__init__(len(offsets) - 1)
+        self.offsets = offsets
+
+    def __getitem__(self, i: int) -> int:
+        return self.offsets[i]
+
+    def last_at_most(self, x: int) -> int:
+        return int(np.searchsorted(self.offsets, x, "right")) - 1
+
+    def first_at_least(self, x: int) -> int:
+        return int(np.searchsorted(self.offsets, x, "left"))
+
+
+def cut(offsets: np.ndarray | int, boundaries: np.ndarray, limit: int, overlap: int, inside: np.ndarray | None = None) -> list[tuple[int, int, str]]:
     """Pieces (first token, end token, kind of cut at the end) of one item.
 
-    ``offsets``: prefix sums of token sizes, length tokens + 1. ``boundaries``: sorted token positions
+    ``offsets``: prefix sums of token sizes, length tokens + 1, or the number of tokens of size 1. ``boundaries``: sorted token positions
     before which a cut is natural; ``inside`` gives for each the first position of its run, from which on a
     cut is as natural (default: the boundary itself). A token larger than the limit is a piece of its own.
     """
-    n, start, out = len(offsets) - 1, 0, []
+    sums = _Letters(offsets) if isinstance(offsets, int) else _Sizes(offsets)
+    n, start, out = len(sums) - 1, 0, []
     first = boundaries if inside is None else inside
     while True:
-        most = int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1
+        most = sums.last_at_most(sums[start] + limit)
         if most >= n:
             out.append((start, n, "end"))
             return out
@@ -50,10 +87,10 @@ def cut(offsets: np.ndarray, boundaries: np.ndarray, limit: int, overlap: int, i
         b = int(np.searchsorted(boundaries, most, "right")) - 1
         if b + 1 < len(boundaries) and first[b + 1] <= most:
             kind = "natural"
-        elif b >= 0 and int(np.searchsorted(offsets, offsets[boundaries[b]] - overlap, "left")) > start:
+        elif b >= 0 and sums.first_at_least(sums[int(boundaries[b])] - overlap) > start:
             at, kind = int(boundaries[b]), "natural"
         out.append((start, at, kind))
-        start = max(start + 1, int(np.searchsorted(offsets, offsets[at] - overlap, "left")))
+        start = max(start + 1, sums.first_at_least(sums[at] - overlap))
 
 
 def _checked(limit: int, overlap: int) -> None:
@@ -79,7 +116,7 @@ def split_sequences(df: DataFrame, key: str, seq: str, limit: int = LIMIT, overl
                 gaps = find_gaps(text, min_gap) if len(text) > limit else []
                 starts = np.array([g for g, _ in gaps], np.int64)
                 ends = starts + np.array([n for _, n in gaps], np.int64)
-                for i, (s, e, how) in enumerate(cut(np.arange(len(text) + 1), ends, limit, overlap, starts)):
+                for i, (s, e, how) in enumerate(cut(len(text), ends, limit, overlap, starts)):
                     rows.append((k, i + 1, s, e, how, [g for g, _ in gaps] if i == 0 else None, [n for _, n in gaps] if i == 0 else None, text[s:e]))
                     size += e - s
                 if size > 8_000_000:

@@ -79,9 +79,33 @@ n AS (SELECT field, seq_no, count(*) AS n FROM g GROUP BY ALL),
 p AS (SELECT a.field, a.seq_no AS x, b.seq_no AS y, count(*) AS c FROM g a JOIN g b ON a.field = b.field AND a.g = b.g AND a.seq_no < b.seq_no GROUP BY ALL)
 SELECT p.field, x AS seq_no_a, y AS seq_no_b FROM p JOIN n a ON a.field = p.field AND a.seq_no = x JOIN n b ON b.field = p.field AND b.seq_no = y WHERE c >= 0.6 * (a.n + b.n - c)"""
 
+_PIECES = """
+WITH RECURSIVE t AS (SELECT seq_no, seq, length(seq) AS n, CASE WHEN length(seq) > 6000 THEN regexp_extract_all(seq, '[^ACGTacgt]{10,}') ELSE [] END AS gaps, regexp_split_to_array(seq, '[^ACGTacgt]{10,}') AS between FROM library WHERE seq IS NOT NULL),
+g AS (SELECT seq_no, n, list_transform(range(1, len(gaps) + 1), lambda k: list_sum(list_transform(between[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(gaps[1:k - 1], lambda x: length(x))), 0)) AS s,
+  list_transform(range(1, len(gaps) + 1), lambda k: list_sum(list_transform(between[1:k], lambda x: length(x))) + list_sum(list_transform(gaps[1:k], lambda x: length(x)))) AS e FROM t),
+p AS (
+  SELECT seq_no, 0 AS piece_no, 0::BIGINT AS a, 0::BIGINT AS b, '' AS cut, 0::BIGINT AS nxt FROM g
+  UNION ALL
+  SELECT seq_no, piece_no + 1, a, b, cut, greatest(a + 1, b - 200) FROM (
+    SELECT seq_no, piece_no, a, CASE WHEN a + 6000 >= n THEN n WHEN inside THEN a + 6000 WHEN last - 200 > a THEN last ELSE a + 6000 END::BIGINT AS b,
+      CASE WHEN a + 6000 >= n THEN 'end' WHEN inside OR last - 200 > a THEN 'natural' ELSE 'hard' END AS cut
+    FROM (SELECT p.seq_no, p.piece_no, p.nxt AS a, g.n, len(list_filter(g.s, lambda x: x <= p.nxt + 6000)) > len(list_filter(g.e, lambda x: x <= p.nxt + 6000)) AS inside, list_max(list_filter(g.e, lambda x: x <= p.nxt + 6000)) AS last FROM p JOIN g USING (seq_no) WHERE p.cut <> 'end')))
+SELECT p.seq_no, piece_no, a AS piece_start, b AS piece_end, cut, substr(seq, a + 1, b - a) AS piece FROM p JOIN library USING (seq_no) WHERE piece_no > 0"""
+
+_GROUPS = f"""
+WITH RECURSIVE near AS ({_NEAR}),
+m AS (SELECT 'seq' AS field, seq_no, upper(seq) AS k FROM library WHERE seq IS NOT NULL UNION ALL SELECT 'header', seq_no, lower(header) FROM library WHERE header IS NOT NULL),
+c AS (SELECT field, seq_no, min(seq_no) OVER (PARTITION BY field, k) AS c FROM m),
+l AS (SELECT DISTINCT n.field, a.c AS u, b.c AS v FROM (SELECT field, seq_no_a AS x, seq_no_b AS y FROM near UNION ALL SELECT field, seq_no_b, seq_no_a FROM near) n JOIN c a ON a.field = n.field AND a.seq_no = x JOIN c b ON b.field = n.field AND b.seq_no = y WHERE a.c <> b.c),
+r AS (SELECT field, u, v FROM l UNION SELECT r.field, r.u, l.v FROM r JOIN l ON l.field = r.field AND l.u = r.v),
+k AS (SELECT field, u, count(*) AS n FROM l GROUP BY ALL), f AS (SELECT field, u, min(v) AS v FROM r GROUP BY ALL)
+SELECT c.field, c.seq_no, c.c AS class_id, least(c.c, coalesce(f.v, c.c)) AS group_id, coalesce(k.n, 0) AS n_links FROM c LEFT JOIN k ON k.field = c.field AND k.u = c.c LEFT JOIN f ON f.field = c.field AND f.u = c.c"""
+
 ORACLES = {
     "p1_distinct_counts": _distinct_counts(),
     "p4_found": _GAPS,
+    "p4_pieces": _PIECES,
+    "p5_groups": _GROUPS,
     "p5_found": _NEAR,
     "p7_found": _SPANS + " SELECT seq_no, span_start, span_len FROM spans",
     "p7_shares": _SPANS + ", t AS (SELECT seq_no, sum(span_len)::BIGINT AS n, count(*) AS k FROM spans GROUP BY 1) SELECT l.seq_no, coalesce(length(seq), 0) AS n_letters, coalesce(n, 0) AS n_shared, coalesce(k, 0) AS n_spans, round(CASE WHEN length(seq) > 0 THEN coalesce(n, 0) / length(seq) ELSE 0 END, 6) AS shared_share FROM library l LEFT JOIN t ON t.seq_no = l.seq_no",

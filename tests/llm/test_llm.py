@@ -481,12 +481,31 @@ def test_rake():
     tokens = rng.integers(1, 1000, 60).astype(float)
     src, lang, topic = (rng.integers(0, n, 60) for n in (4, 3, 5))
     shares, caps = np.array([0.4, 0.3, 0.2, 0.1]), np.array([1.0, 2.0, 3.0, 1.0])
-    w = MX.rake(tokens, src, [lang, topic], shares, caps)
+    w = MX.rake(tokens, src, [lang, topic], shares, caps).tokens
     got = np.bincount(src, weights=w)
     assert np.allclose(got / got.sum(), shares) and (w <= tokens * caps[src] + 1e-6).all()
-    assert MX.rake(tokens, src, [lang], shares * 0, caps).sum() == 0
-    w = MX.rake(tokens, src, [lang, topic], shares, caps, total=500)
-    assert abs(w.sum() - 500) < 1e-6 and np.allclose(np.bincount(lang, weights=w) / 500, np.bincount(lang, weights=tokens) / tokens.sum(), atol=0.02)
+    assert MX.rake(tokens, src, [lang], shares * 0, caps).tokens.sum() == 0
+    r = MX.rake(tokens, src, [lang, topic], shares, caps, total=500)
+    assert r.at_rest and abs(r.tokens.sum() - 500) < 1e-6 and np.allclose(np.bincount(lang, weights=r.tokens) / 500, np.bincount(lang, weights=tokens) / tokens.sum(), atol=1e-6)
+    want = np.array([0.7, 0.2, 0.1])
+    r = MX.rake(tokens, src, [lang, topic], shares, caps, total=500, wanted=[want, None])
+    assert r.at_rest and np.allclose(np.bincount(lang, weights=r.tokens) / 500, want, atol=1e-6)
+    assert np.allclose(np.bincount(topic, weights=r.tokens) / 500, np.bincount(topic, weights=tokens) / tokens.sum(), atol=1e-6)
+
+
+def test_wanted_languages_and_many_topics(spark):
+    from pyspark.sql import functions as F
+
+    random.seed(13)
+    docs = [(i, "word " * random.randint(5, 60), random.choice("ab"), random.choice(["en", "de", "fr"]), f"t{random.randrange(40)}") for i in range(3000)]
+    df = spark.createDataFrame(docs, "k bigint, text string, source string, lang string, topic string")
+    targets = spark.createDataFrame([("a", 3.0, 2), ("b", 1.0, 2)], "source string, target_share double, max_repeats int")
+    chosen, shares = MX.select_mix(df, "k", "text", "source", F.col("lang"), F.col("topic"), targets, total_tokens=20000, language_shares={"en": 1, "de": 3, "xx": 0})
+    report = {(r.dimension, r.value): r for r in shares.collect()}
+    assert all(r.at_rest for r in report.values()) and sum(d == "topic" for d, _ in report) == 40
+    for key, x in ((("source", "a"), 0.75), (("lang", "de"), 0.75), (("lang", "en"), 0.25), (("lang", "xx"), 0.0)):
+        assert abs(report[key].reached_share - x) < 0.02
+    assert {r.topic for r in chosen.select("topic").distinct().collect()} == {f"t{i}" for i in range(40)}
 
 
 def test_mix(spark):
