@@ -46,14 +46,6 @@ def trim_mate(c: Column) -> Column:
     return F.regexp_replace(c, r"(?<=.)/[12]$", "")
 
 
-def percent(part: Column, whole: Column) -> Column:
-    return F.format_string("%6.2f", F.when(whole == 0, F.lit(0.0)).otherwise(part * 100.0 / whole))
-
-
-def bit_string(c: Column) -> Column:
-    return F.lpad(F.bin(c), 64, "0")
-
-
 def wrapped(c: Column, width: int = 72) -> Column:
     """Text broken into lines of ``width`` letters."""
     return F.regexp_replace(F.regexp_replace(c, "(.{%d})" % width, "$1\n"), "\n$", "")

@@ -93,11 +93,11 @@ def seed_mask(length: int, spaces: int) -> str:
 class Scheme:
     """How minimizers are made: k, l, spaced seed, toggle, alphabet."""
 
-    def __init__(self, k: int = 35, l: int = 31, spaces: int = 7, protein: bool = False, toggle: int = TOGGLE):
+    def __init__(self, k: int = 35, l: int = 31, spaces: int = 7, protein: bool = False, toggle: int = TOGGLE, strict: bool = False):
         self.bits = 4 if protein else 2
         if not 0 < l <= k or l > (15 if protein else 31):
             raise ValueError("need 0 < l <= k, and l at most 31 (nucleotides) or 15 (protein)")
-        self.k, self.l, self.spaces, self.protein = k, l, spaces, protein
+        self.k, self.l, self.spaces, self.protein, self.strict = k, l, spaces, protein, strict
         self.table = PROTEIN_CODE if protein else DNA_CODE
         full = (1 << (self.bits * l)) - 1
         letter = (1 << self.bits) - 1
@@ -117,7 +117,8 @@ class Scheme:
 
         A token stands for every end e >= k-1 of a sequence. With r clean letters before and at e it is
         ambiguous if r < k-1 (if r < k when l = k); else it is the least of the last min(r-l+1, k-l+1)
-        candidates. So a window is taken one letter before it is whole after an ambiguous letter.
+        candidates. So a window is taken one letter before it is whole after an ambiguous letter, unless the
+        scheme is ``strict``: then r must be k.
         """
         codes, ends = joined(seqs, self.table)
         starts = np.r_[0, ends[:-1]]
@@ -130,7 +131,7 @@ class Scheme:
         low[k - 1 :] = sliding_min(order, w)
         good = np.zeros(n, bool)
         good[k - 1 :] = clean_windows(codes, k)
-        if w > 1:
+        if w > 1 and not self.strict:
             short = np.zeros(n, bool)
             short[k - 2 :] = clean_windows(codes, k - 1)
             short &= ~good

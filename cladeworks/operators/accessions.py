@@ -37,6 +37,17 @@ def map_accessions(ids: DataFrame, accessions: DataFrame, also_gi: bool = False)
     return ids.join(first, "accession").select("seqid", "accession", "taxid")
 
 
+def union_maps(*maps: DataFrame) -> DataFrame:
+    """``seqid, taxid`` of several maps; of a repeated id the last map that has it counts (equal ids in one map: the
+    greatest line, if there are lines)."""
+    rows = None
+    for i, m in enumerate(maps):
+        line = F.col("line") if "line" in m.columns else F.lit(0)
+        part = m.where("taxid <> 0 AND seqid IS NOT NULL").select("seqid", "taxid", F.struct(F.lit(i).alias("map"), line.cast("bigint").alias("line")).alias("at"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.groupBy("seqid").agg(F.max_by("taxid", "at").alias("taxid"))
+
+
 def unmapped(ids: DataFrame, accessions: DataFrame) -> DataFrame:
     return ids.join(accessions.select("accession"), "accession", "left_anti").select("seqid", "accession")
 

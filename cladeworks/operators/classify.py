@@ -225,17 +225,20 @@ def _hit_texts(read: np.ndarray, border: np.ndarray, code: np.ndarray, n: np.nda
 _COUNTS = "length string, n_tokens bigint, n_ambiguous bigint, hit_groups bigint, total bigint, quick bigint, text string"
 
 
-def classify(reads: DataFrame, index: DataFrame, taxonomy: DataFrame, scheme: Scheme, confidence: float = 0.0, min_hit_groups: int = 2, quick: bool = False, translated: bool = False, least_hash: int = 0, compat: bool = True, denominator: str = "tokens", min_quality: int = 0) -> DataFrame:
+def classify(reads: DataFrame, index: DataFrame, taxonomy: DataFrame, scheme: Scheme, confidence: float = 0.0, min_hit_groups: int = 2, quick: bool | str = False, translated: bool = False, least_hash: int = 0, compat: bool = True, denominator: str = "tokens", min_quality: int = 0) -> DataFrame:
     """One row per read: ``read_id, status, taxon, length, n_tokens, n_ambiguous, hit_groups, candidate,
     clade_hits, hits``.
 
     ``compat`` keeps known habits of the search this follows: translated searches count 3 tokens more per
     mate, ambiguous tokens count in the denominator (``denominator="documented"`` leaves them out).
-    ``quick`` calls the taxon of the first look-up that reaches ``min_hit_groups`` groups. ``least_hash`` is that of a
+    ``quick`` calls the taxon of the first look-up that reaches ``min_hit_groups`` groups; as "compat" it stops there
+    too, but votes on the hits before it. ``least_hash`` is that of a
     downsampled index: minimizers it cannot hold are not looked up. ``min_quality`` masks letters by ``qual``.
     """
     if not 0 <= confidence <= 1 or min_hit_groups < 0:
         raise ValueError("confidence must be within 0 and 1, min_hit_groups not negative")
+    if quick not in (False, True, "compat"):
+        raise ValueError("quick must be False, True or 'compat'")
     if denominator not in ("tokens", "documented"):
         raise ValueError("denominator must be tokens or documented")
     tree = small_tree(taxonomy)
@@ -280,7 +283,18 @@ def classify(reads: DataFrame, index: DataFrame, taxonomy: DataFrame, scheme: Sc
         n_tokens, n_amb, group = count(n, slice(None)), count(n, amb), hit & lookup
         groups = count(None, group)
         mates = np.bincount(z["seq_read"], minlength=reads)
-        total = n_tokens + (3 * mates if translated and compat else 0) - (n_amb if denominator == "documented" else 0)
+        counted = np.ones(len(read), bool)
+        if quick == "compat" and len(read):
+            # groups so far within the read; the run that brings enough, and all after it, are not counted
+            so_far = np.cumsum(group)
+            start = np.searchsorted(read, np.arange(reads))
+            so_far = so_far - np.r_[0, so_far][start][read]
+            stops = np.flatnonzero(hit & (so_far >= min_hit_groups))
+            first = np.full(reads, len(read))
+            np.minimum.at(first, read[stops], stops)
+            counted = np.arange(len(read)) < first[read]
+            hit = hit & counted
+        total = count(n, counted) + (3 * mates if translated and compat else 0) - (count(n, amb & counted) if denominator == "documented" else 0)
         lengths = [[] for _ in range(reads)]
         for r, x in zip(z["seq_read"].tolist(), z["letters"].tolist()):
             lengths[r].append(str(x))
@@ -327,7 +341,8 @@ def classify(reads: DataFrame, index: DataFrame, taxonomy: DataFrame, scheme: Sc
         d = resolve(d.withColumn("hits", F.coalesce("hits", F.array().cast(d.schema["hits"].dataType))), "hits", "total", confidence)
     text = F.col("text")
     if quick:
-        d = d.withColumn("call", F.col("quick"))
+        enough = F.col("hit_groups") >= min_hit_groups
+        d = d.withColumn("call", F.when(enough, F.col("call")) if quick == "compat" else F.col("quick"))
         text = F.when(F.col("call").isNotNull(), F.concat(F.col("call").cast("string"), F.lit(":Q"))).otherwise(text)
     else:
         d = d.withColumn("call", F.when(F.col("hit_groups") >= min_hit_groups, F.col("call")))
@@ -351,6 +366,39 @@ def tagged_reads(reads: DataFrame, calls: DataFrame, classified: bool) -> DataFr
     return reads.join(calls.where("status = 'C'").select("read_id"), "read_id", "left_anti").withColumn("header", F.col("read_id").cast("string"))
 
 
+def record_text(reads: DataFrame) -> Column:
+    """FASTA or, where there is a quality, FASTQ text of ``header, seq[, qual]``."""
+    plain = F.concat(F.lit(">"), "header", F.lit("\n"), F.coalesce("seq", F.lit("")))
+    if "qual" not in reads.columns:
+        return plain
+    full = F.concat(F.lit("@"), "header", F.lit("\n"), "seq", F.lit("\n+\n"), "qual")
+    return F.when(F.col("qual").isNull(), plain).otherwise(full)
+
+
+def sequence_outputs(reads: DataFrame, calls: DataFrame) -> DataFrame:
+    """``read_id, mate, status, text`` of every record: its own header (of classified ones followed by
+    ``kraken:taxid|N``), sequence and quality. Mates keep their numbers, so that each can have its file.
+
+    ``reads`` is ``read_id, mate, header, seq[, qual]``.
+    """
+    j = reads.join(calls.select("read_id", "status", "taxon"), "read_id")
+    tag = F.when(F.col("status") == "C", F.concat(F.lit("kraken:taxid|"), F.col("taxon").cast("string")))
+    j = j.withColumn("header", F.concat_ws(" ", "header", tag))
+    return j.select("read_id", "mate", "status", record_text(j).alias("text"))
+
+
+def write_sequence_outputs(outputs: DataFrame, path: str) -> None:
+    """One folder per status and mate (``status=C/mate=1`` and so on), records in the order of their read ids."""
+    outputs.orderBy("read_id").select("status", "mate", F.col("text").alias("value")).write.mode("overwrite").partitionBy("status", "mate").text(path)
+
+
+def probe(runs: DataFrame, index: DataFrame) -> DataFrame:
+    """``read_id, n_minimizers, n_known``: distinct minimizers of each read, and those that the index has."""
+    own = runs.where("minimizer IS NOT NULL").select("read_id", "minimizer").distinct()
+    known = index.select("minimizer").withColumn("known", F.lit(1))
+    return own.join(known, "minimizer", "left").groupBy("read_id").agg(F.count("*").alias("n_minimizers"), F.count("known").alias("n_known"))
+
+
 def run_statistics(reads: DataFrame, calls: DataFrame) -> DataFrame:
     """One row: reads, letters, classified reads and their percentage."""
     n = calls.agg(F.count("*").alias("n_reads"), F.sum(F.when(F.col("status") == "C", 1).otherwise(0)).cast("bigint").alias("n_classified"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladeworks.session import Scratch
+
 #: Rank prefixes of lineage texts (fixed values).
 PREFIX_RANKS = {"d": "domain", "k": "kingdom", "p": "phylum", "c": "class", "o": "order", "f": "family", "g": "genus", "s": "species"}
 
@@ -76,7 +78,30 @@ def split_groups(df: DataFrame, lineage: str, groups: list[str], level: str = "p
     return df.withColumn("part", F.when(name.isin(groups), name).otherwise("others"))
 
 
+def name_at_level(lineage: Column, level: str) -> Column:
+    """Name of a "d__A;p__B;..." lineage at a level (its letter); null where it has none."""
+    return F.nullif(F.trim(F.regexp_extract(F.coalesce(lineage, F.lit("")), rf"(?:^|;)\s*{level}__([^;]*)", 1)), F.lit(""))
+
+
+def remap_taxids(df: DataFrame, column: str, nodes: DataFrame, secondary: DataFrame) -> DataFrame:
+    """``df`` with taxids that are no nodes replaced by those of ``secondary (old, new)``; null where neither helps."""
+    known = nodes.select(F.col("tax_id").alias(column)).distinct().withColumn("_known", F.lit(True))
+    new = secondary.groupBy(F.col("old").alias(column)).agg(F.min("new").alias("_new"))
+    j = df.join(known, column, "left").join(new, column, "left")
+    return j.withColumn(column, F.when(F.col("_known"), F.col(column)).otherwise(F.col("_new"))).drop("_known", "_new")
+
+
 def bin_pack(df: DataFrame, size: str, capacity: int) -> DataFrame:
-    """Append ``bin``: rows in order of falling size cut into bins by their running sum."""
-    run = F.sum(size).over(Window.orderBy(F.desc(size), *[c for c in df.columns if c != size]).rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("bin", F.floor(F.coalesce(run, F.lit(0)) / capacity).cast("int"))
+    """Append ``bin``: groups of rows whose sizes sum to at most ``capacity``; a larger row is a bin of its own.
+
+    Rows are sorted into classes of sizes above capacity / (j + 1) and up to capacity / j, of which j always
+    fit together; each class is cut by the rows' numbers, which come from counts per partition of a range
+    sort, not from one task.
+    """
+    fit = F.when(F.col(size) > 0, F.greatest(F.floor(F.lit(capacity) / F.col(size)), F.lit(1))).otherwise(F.lit(capacity)).cast("bigint")
+    rows = Scratch(df.sparkSession).write(df.withColumn("_fit", fit).repartitionByRange("_fit", size).sortWithinPartitions("_fit", size).withColumn("_part", F.spark_partition_id()), "sorted")
+    here = Window.partitionBy("_part", "_fit").orderBy(F.desc(size))
+    counts = rows.groupBy("_fit", "_part").agg(F.count("*").alias("_n"))
+    before = counts.select("_fit", "_part", F.coalesce(F.sum("_n").over(Window.partitionBy("_fit").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    numbered = rows.withColumn("_i", F.row_number().over(here)).join(before, ["_fit", "_part"])
+    return numbered.withColumn("bin", F.concat_ws("-", F.col("_fit").cast("string"), F.floor((F.col("_before") + F.col("_i") - 1) / F.col("_fit")).cast("string"))).drop("_fit", "_part", "_i", "_before")

@@ -45,22 +45,26 @@ def _ordered(rows: DataFrame) -> DataFrame:
 
 
 def report(counts: DataFrame, taxonomy: DataFrame, total: int | None = None, unclassified: int = 0, zeros: bool = False) -> DataFrame:
-    """Report rows from ``tax_id, reads[, minimizers, distinct...]``: ``position, pct, clade_reads, reads,
-    rank_code, tax_id, name, depth`` (``position`` 0 is the unclassified row).
+    """Report rows from ``tax_id, reads[, minimizers, distinct_minimizers]``: ``position, pct, clade_reads, reads,
+    [minimizers, distinct_minimizers,] rank_code, tax_id, name, depth`` (``position`` 0 is the unclassified row).
+
+    The minimizer columns are sums over clades: a minimizer has one taxon, so distinct counts add up.
 
     ``total`` defaults to all counted and unclassified reads; ``zeros`` keeps taxa without reads.
     """
-    own = counts.groupBy("tax_id").agg(F.sum("reads").alias("reads"))
-    clade = clade_rollup(own, taxonomy, ["reads"])
-    rows = taxonomy.join(own, "tax_id", "left").join(clade, "tax_id", "left" if zeros else "inner")
+    more = [c for c in ("minimizers", "distinct_minimizers") if c in counts.columns]
+    own = counts.groupBy("tax_id").agg(*[F.sum(c).alias(c) for c in ("reads", *more)])
+    clade = clade_rollup(own, taxonomy, ["reads", *more])
+    rows = taxonomy.join(own.select("tax_id", "reads"), "tax_id", "left").join(clade, "tax_id", "left" if zeros else "inner")
     rows = rows.withColumn("reads", F.coalesce("reads", F.lit(0)).cast("bigint")).withColumn("clade_reads", F.coalesce("clade_reads", F.lit(0)).cast("bigint"))
     if not zeros:
         rows = rows.where("clade_reads > 0")
     rows = _ordered(rows).join(rank_codes(taxonomy), "tax_id")
-    out = rows.select("position", "clade_reads", "reads", "rank_code", F.col("tax_id").cast("bigint").alias("tax_id"), "name", "depth")
+    out = rows.select("position", "clade_reads", "reads", *[F.coalesce(f"clade_{c}", F.lit(0)).cast("bigint").alias(c) for c in more], "rank_code", F.col("tax_id").cast("bigint").alias("tax_id"), "name", "depth")
     spark = counts.sparkSession
     if unclassified or zeros:
         u = spark.createDataFrame([(0, unclassified, unclassified, "U", 0, "unclassified", 0)], "position int, clade_reads bigint, reads bigint, rank_code string, tax_id bigint, name string, depth int")
+        u = u.withColumns({c: F.lit(0).cast("bigint") for c in more})
         out = u.unionByName(out)
     if total is None:
         whole = own.agg((F.coalesce(F.sum("reads"), F.lit(0)) + unclassified).alias("whole"))
@@ -68,13 +72,14 @@ def report(counts: DataFrame, taxonomy: DataFrame, total: int | None = None, unc
     else:
         out = out.withColumn("whole", F.lit(total))
     pct = F.format_string("%6.2f", F.when(F.col("whole") > 0, 100.0 * F.col("clade_reads") / F.col("whole")).otherwise(0.0))
-    return out.select("position", pct.alias("pct"), "clade_reads", "reads", "rank_code", "tax_id", "name", "depth")
+    return out.select("position", pct.alias("pct"), "clade_reads", "reads", *more, "rank_code", "tax_id", "name", "depth")
 
 
 def report_lines(rows: DataFrame) -> DataFrame:
     """``position, line``: tab-separated, the name indented by two blanks a level."""
     name = F.concat(F.repeat(F.lit(" "), F.col("depth") * 2), F.col("name"))
-    return rows.select("position", F.concat_ws("\t", "pct", F.col("clade_reads").cast("string"), F.col("reads").cast("string"), "rank_code", F.col("tax_id").cast("string"), name).alias("line"))
+    more = [F.col(c).cast("string") for c in ("minimizers", "distinct_minimizers") if c in rows.columns]
+    return rows.select("position", F.concat_ws("\t", "pct", F.col("clade_reads").cast("string"), F.col("reads").cast("string"), *more, "rank_code", F.col("tax_id").cast("string"), name).alias("line"))
 
 
 def mpa_report(counts: DataFrame, taxonomy: DataFrame, zeros: bool = False) -> DataFrame:
@@ -103,6 +108,12 @@ def minimizer_sketches(found: DataFrame, bits: int = 12) -> DataFrame:
     return s.withColumn("estimate", F.hll_sketch_estimate("sketch"))
 
 
+def clade_sketches(sketches: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """``tax_id, sketch, estimate`` over clades: the taxa's sketches united up their paths, no minimizer counted again."""
+    up = sketches.join(taxonomy.select("tax_id", "path"), "tax_id").select(F.explode("path").alias("tax_id"), "sketch")
+    return up.groupBy("tax_id").agg(F.hll_union_agg("sketch").alias("sketch")).withColumn("estimate", F.hll_sketch_estimate("sketch"))
+
+
 def inspect(index: DataFrame, taxonomy: DataFrame, zeros: bool = False) -> DataFrame:
     """Report rows of an index: minimizers per taxon in place of reads."""
     counts = index.groupBy(F.col("taxon").alias("tax_id")).agg(F.count("*").alias("reads"))

@@ -152,10 +152,6 @@ def fasta_text(header: Column, seq: Column, width: int = 72) -> Column:
     return F.concat(F.lit(">"), header, F.lit("\n"), wrapped(seq, width))
 
 
-def fastq_text(header: Column, seq: Column, qual: Column) -> Column:
-    return F.concat(F.lit("@"), header, F.lit("\n"), seq, F.lit("\n+\n"), qual)
-
-
 def write_text(df: DataFrame, path: str, line: str, order: str | None = None) -> None:
     """Write one text column; with ``order`` the files' names follow that order (a range sort, no single task)."""
     df = df.orderBy(order) if order else df

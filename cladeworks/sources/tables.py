@@ -65,6 +65,26 @@ def load_database(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
     return tuple(spark.read.parquet(f"{path}/{x}") for x in ("index", "taxonomy", "summary"))
 
 
+def add_to_library(records: DataFrame, path: str, part: str) -> None:
+    """Append records (``id, header, seq``) as one part of a library folder; adding a part again replaces it."""
+    records.withColumn("seq_md5", F.md5("seq")).write.mode("overwrite").parquet(f"{path}/library/part={part}")
+
+
+def read_library(spark: SparkSession, path: str) -> DataFrame:
+    """All parts of a library, with their manifest columns ``part`` and ``seq_md5``."""
+    return spark.read.parquet(f"{path}/library")
+
+
+def clean(spark: SparkSession, path: str, keep_library: bool = False) -> list[str]:
+    """Remove what a finished index folder does not need; the folders removed."""
+    jvm, gone = spark._jvm, []
+    for name in ("staging", *([] if keep_library else ["library"])):
+        p = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        if p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True):
+            gone.append(name)
+    return gone
+
+
 def find_database(name: str, search: str = "", default: str = "") -> str:
     """Folder of a database: a path, or a name below one of the colon-separated search folders."""
     import os
