@@ -33,11 +33,13 @@ def build_session(app: str = "cladeworks", master: str | None = None, **conf) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (only where that is unset) a local one."""
+    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset and all runs in one process."""
     global _local_dir
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if _local_dir is None:
         _local_dir = tempfile.mkdtemp(prefix="cladeworks-")
         atexit.register(shutil.rmtree, _local_dir, True)

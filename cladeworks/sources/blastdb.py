@@ -15,6 +15,8 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from cladeworks.sources.files import open_file
+
 #: Letters of the 4-bit ambiguity masks A=1, C=2, G=4, T=8 (fixed values).
 MASK_LETTERS = b"-ACMGRSVTWYHKDBN"
 _FOUR = np.frombuffer(b"ACGT", np.uint8)[(np.arange(256)[:, None] >> np.array([6, 4, 2, 0])) & 3]
@@ -180,7 +182,7 @@ class BlastReader(DataSourceReader):
         self.rows = int(options.get("rows", 100_000))
 
     def _index(self) -> VolumeIndex:
-        with open(self.path + ".nin", "rb") as f:
+        with open_file(self.path + ".nin") as f:
             return VolumeIndex(f.read())
 
     def partitions(self) -> list[InputPartition]:
@@ -189,7 +191,7 @@ class BlastReader(DataSourceReader):
 
     def read(self, partition: _Rows) -> Iterator[tuple]:
         x = self._index()
-        with open(self.path + ".nsq", "rb") as seqs, open(self.path + ".nhr", "rb") as heads:
+        with open_file(self.path + ".nsq") as seqs, open_file(self.path + ".nhr") as heads:
             for i in range(partition.first, partition.last):
                 seqs.seek(x.seqs[i])
                 block = seqs.read(int(x.seqs[i + 1] - x.seqs[i]))

@@ -7,23 +7,23 @@ safely (qualities may hold any character) and compressed files cannot either: on
 counting from 0. Compression (gzip, bzip2, xz) is told by magic bytes per file.
 
 Records may span lines. A quality of another length than its sequence is an error; option ``permissive``
-leaves the record out instead. Files are taken from a path, a folder, a glob or a comma-separated list.
+leaves the record out instead. Files are taken from a path, a folder, a glob or a comma-separated list, on local disks or any file system by URI.
 """
 
 from __future__ import annotations
 
 import bz2
-import glob
 import gzip
 import io
 import lzma
-import os
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from cladeworks.sources.files import list_files, open_file, size_of
+
 SCHEMA = "file string, ordinal bigint, format string, id string, comment string, seq string, qual string"
 _MAGIC = ((b"\x1f\x8b", gzip.open), (b"BZh", bz2.open), (b"\xfd7zXZ\x00", lzma.open))
 _SPLIT = 64 << 20
@@ -31,12 +31,13 @@ _SPLIT = 64 << 20
 
 def open_any(path: str) -> tuple[io.BufferedReader, bool]:
     """(binary stream, compressed)."""
-    with open(path, "rb") as f:
-        head = f.read(6)
+    stream = open_file(path)
+    head = stream.read(6)
+    stream.seek(0)
     for magic, opener in _MAGIC:
         if head.startswith(magic):
-            return opener(path, "rb"), True
-    return open(path, "rb"), False
+            return opener(stream, "rb"), True
+    return (stream if isinstance(stream, io.BufferedReader) else io.BufferedReader(stream)), False
 
 
 def _header(line: bytes) -> tuple[str, str]:
@@ -89,11 +90,8 @@ class FastxReader(DataSourceReader):
         self.split = int(options.get("splitBytes", _SPLIT))
         self.paths: list[str] = []
         for part in str(options.get("path", options.get("paths", ""))).split(","):
-            part = part.strip().removeprefix("file://")
-            if os.path.isdir(part):
-                self.paths += sorted(p for p in glob.glob(os.path.join(part, "*")) if os.path.isfile(p) and not os.path.basename(p).startswith(("_", ".")))
-            elif part:
-                self.paths += sorted(glob.glob(part)) or [part]
+            if part.strip():
+                self.paths += list_files(part.strip())
         if not self.paths:
             raise ValueError("fastx: no path given")
 
@@ -103,7 +101,7 @@ class FastxReader(DataSourceReader):
             stream, packed = open_any(p)
             with stream:
                 first = stream.read(1)
-            size = os.path.getsize(p)
+            size = size_of(p)
             if packed or first != b">" or size <= self.split:
                 out.append(_Range(p, 0, None))
             else:
