@@ -39,8 +39,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cladeworks.functions.kmers import clean_windows, joined, kmers
 from cladeworks.llm.buckets import MOST_PARTITIONS, SCHEMA, by_bucket, layout, per_bucket
-from cladeworks.llm.letters import clean_windows, joined, kmers
 from cladeworks.llm.words import CHUNK, chunks, mix
 from cladeworks.session import Scratch
 

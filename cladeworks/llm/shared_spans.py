@@ -35,8 +35,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cladeworks.functions.kmers import clean_windows, joined, kmers, sliding_min
 from cladeworks.llm.buckets import SCHEMA, by_bucket, layout, per_bucket
-from cladeworks.llm.letters import clean_windows, joined, kmers, sliding_min
 from cladeworks.llm.words import CHUNK, chunks, mix, powers
 
 SPAN, K = 80, 20
