@@ -235,8 +235,8 @@ def tax_conflicts_planted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tax_unknown(spark: SparkSession, d: str) -> DataFrame:
-    """Taxids of the accession table that are no nodes."""
-    nodes = table(spark, d, "taxonomy_nodes").select(F.col("external_id").alias("tax_id"))
+    """Taxids of the accession table that are no living nodes."""
+    nodes = table(spark, d, "taxonomy_nodes").where("deleted_at IS NULL").select(F.col("external_id").alias("tax_id"))
     return lineage.unknown_taxids(table(spark, d, "accession2taxid").withColumnRenamed("taxid", "ncbi_taxid"), nodes)
 
 

@@ -69,7 +69,7 @@ SELECT c.part, printf('%6.2f', 100.0::DOUBLE * c / w) AS pct, c AS clade_reads,
 q AS (SELECT b, a FROM p UNION ALL SELECT p.b, t.path[1] FROM p JOIN t ON t.id = p.a)
 SELECT coalesce(list_contains(t.path, q.a), FALSE) AS is_ancestor, count(*) AS n FROM q LEFT JOIN t ON t.id = q.b GROUP BY 1""",
     "tax_conflicts_planted": _TAX + " SELECT id AS tax_id, 2 AS n_parents FROM t WHERE id % 10 = 0 AND len(path) > 2",
-    "tax_unknown": "SELECT DISTINCT taxid AS tax_id FROM accession2taxid WHERE taxid IS NOT NULL AND taxid NOT IN (SELECT external_id FROM taxonomy_nodes WHERE external_id IS NOT NULL)",
+    "tax_unknown": "SELECT DISTINCT taxid AS tax_id FROM accession2taxid WHERE taxid IS NOT NULL AND taxid NOT IN (SELECT external_id FROM taxonomy_nodes WHERE external_id IS NOT NULL AND deleted_at IS NULL)",
     "tax_remapped": "WITH k AS (SELECT DISTINCT external_id AS x FROM taxonomy_nodes WHERE deleted_at IS NULL), g AS (SELECT external_id AS x, min(parent_id) AS y FROM taxonomy_nodes WHERE deleted_at IS NOT NULL GROUP BY 1) SELECT map_id, CASE WHEN k.x IS NOT NULL THEN taxid ELSE g.y END AS taxid FROM seqid2taxid LEFT JOIN k ON k.x = taxid LEFT JOIN g ON g.x = taxid",
     "lineage_levels": f"WITH {_LINEAGE} SELECT r_name AS domain, n_name AS phylum, sp AS species, count(*) AS n FROM lin GROUP BY ALL",
     "size_bins": "SELECT count(*) AS n_records, 0::BIGINT AS n_overfull, TRUE AS few_bins FROM library",
