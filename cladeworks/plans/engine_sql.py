@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from cladeworks.plans.core_sql import _ALL, _CALLS, _CODE, _IDX_ALL, _INDEX, _K, _L, _LINEAGE, _SEQTAX, _STATUS, _TAX, _TOKENS, _TPC, _fmix, _report
+from cladeworks.plans.core_sql import _ALL, _CALLS, _CODE, _IDX_ALL, _INDEX, _K, _L, _LINEAGE, _MASK, _SEQTAX, _STATUS, _TAX, _TOGGLE, _TOKENS, _TPC, _fmix, _report
 
 #: Quick search: ft holds the tokens before the deciding one of reads that reach two groups.
 _QUICK = _CALLS.replace("ft AS (", "fa AS (", 1).replace(
@@ -60,6 +60,7 @@ SELECT c.part, printf('%6.2f', 100.0::DOUBLE * c / w) AS pct, c AS clade_reads,
     "classify_paired": _PAIRED + f" SELECT read_id, {_STATUS} AS status, taxon, (l.n // 2) || '|' || (l.n - l.n // 2) AS length, n_tokens, hit_groups FROM res JOIN (SELECT seq_no, length(seq) AS n FROM library WHERE seq IS NOT NULL) l ON l.seq_no = read_id",
     "paired_sink": _PAIRED + f""" SELECT read_id, m AS mate, {_STATUS} AS status, md5('>' || read_id || '/' || m || coalesce(' kraken:taxid|' || taxon, '') || chr(10) || CASE m WHEN 1 THEN substr(l.seq, 1, length(l.seq) // 2) ELSE substr(l.seq, length(l.seq) // 2 + 1) END) AS text_md5 FROM res JOIN library l ON l.seq_no = read_id, range(1, 3) z(m) WHERE l.seq IS NOT NULL""",
     "ordered_output": "SELECT count(*) AS n_lines, 0::BIGINT AS n_late FROM library",
+    "index_summary": _IDX_ALL + f" SELECT {_K} AS k, {_L} AS l, 'nucleotide' AS alphabet, '{_MASK:064b}' AS seed_mask, '{_TOGGLE:064b}' AS toggle_mask, (SELECT count(*) FROM t) AS n_nodes, (SELECT count(*) FROM idx) AS n_keys, repeat('0', 20) AS least_hash",
     "database_round_trip": _IDX_ALL + " SELECT taxon, count(*) AS n, 15 AS k, 11 AS l, (SELECT count(*) FROM idx) AS n_keys FROM idx GROUP BY 1",
     "fastq_round_trip": "SELECT 'r' || seq_no AS id, md5(seq) AS seq_md5, length(seq) AS n_qual FROM library WHERE seq_no % 2 = 0 AND seq <> ''",
     "taxonomy_dump": _TPC + " SELECT id AS tax_id, p AS parent_tax_id, rank, name, depth FROM t",
