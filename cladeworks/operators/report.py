@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladeworks.operators.taxonomy import common_places
+from cladeworks.session import Scratch
+
 #: Ranks with a letter of their own (fixed values).
 RANK_LETTERS = {"superkingdom": "D", "domain": "D", "kingdom": "K", "phylum": "P", "class": "C", "order": "O", "family": "F", "genus": "G", "species": "S"}
 MPA_LETTERS = {"superkingdom": "d", "domain": "d", "kingdom": "k", "phylum": "p", "class": "c", "order": "o", "family": "f", "genus": "g", "species": "s"}
@@ -97,10 +100,31 @@ def minimizer_counts(found: DataFrame, taxonomy: DataFrame) -> DataFrame:
     hits = found.where("is_lookup AND taxon IS NOT NULL").select(F.col("taxon").alias("tax_id"), "minimizer")
     # a minimizer has one taxon, so distinct counts add up over a clade
     own = hits.groupBy("tax_id", "minimizer").agg(F.count("*").alias("n")).groupBy("tax_id").agg(F.sum("n").alias("minimizers"), F.count("*").alias("distinct_minimizers"))
+    return _with_clades(own, taxonomy)
+
+
+def _with_clades(own: DataFrame, taxonomy: DataFrame) -> DataFrame:
     clade = clade_rollup(own, taxonomy, ["minimizers", "distinct_minimizers"])
     return clade.join(own, "tax_id", "left").select("tax_id", F.coalesce("minimizers", F.lit(0)).alias("minimizers"), F.coalesce("distinct_minimizers", F.lit(0)).alias("distinct_minimizers"), "clade_minimizers", "clade_distinct_minimizers")
 
 
+def _per_taxon(groups: DataFrame, columns: list[str], taxonomy: DataFrame) -> DataFrame:
+    """``tax_id`` and the columns of groups ``lo, hi``; several rows a taxon."""
+    groups = Scratch(groups.sparkSession).write(groups, "groups")
+    return common_places(groups, columns, taxonomy).join(taxonomy.select("pre", "tax_id"), "pre").select("tax_id", *columns)
+
+
+def hit_counts(hits: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """``minimizer_counts`` from a row per minimizer: ``minimizer, n`` look-ups and its ends ``lo, hi`` in the index.
+
+    Minimizers are counted by their ends before these become taxa.
+    """
+    columns = ["minimizers", "distinct_minimizers"]
+    groups = hits.groupBy("lo", "hi").agg(F.sum("n").alias("minimizers"), F.count("*").alias("distinct_minimizers"))
+    own = _per_taxon(groups, columns, taxonomy).groupBy("tax_id").agg(*[F.sum(c).alias(c) for c in columns])
+    return _with_clades(Scratch(hits.sparkSession).write(own, "own"), taxonomy)
+
+
 def minimizer_sketches(found: DataFrame, bits: int = 12) -> DataFrame:
     """``tax_id, sketch, estimate``: mergeable HyperLogLog sketches of the distinct minimizers."""
     hits = found.where("is_lookup AND taxon IS NOT NULL")

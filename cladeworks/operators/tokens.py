@@ -108,6 +108,24 @@ def token_runs(reads: DataFrame, scheme: Scheme, translated: bool = False) -> Da
     return source.mapInArrow(run, f"read_id {kind}, mate int, frame int, run int, minimizer bigint, n int, is_lookup boolean")
 
 
+def lookup_counts(reads: DataFrame, scheme: Scheme, translated: bool = False) -> DataFrame:
+    """``minimizer, n``: how often each minimizer is looked up (the runs of ``token_runs`` with is_lookup).
+
+    Combined per chunk in the scan and per task before the shuffle, so that carries no row per look-up.
+    """
+    source = reads.select("seq").where("seq IS NOT NULL")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, part in chunks(b.column(0).to_pylist()):
+                _, m, _, _, lookup = sequence_runs(frames_of(part, translated)[0], scheme)
+                m, n = np.unique(m[lookup], return_counts=True)
+                if len(m):
+                    yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(n.astype(np.int64))], ["minimizer", "n"])
+
+    return source.mapInArrow(run, "minimizer bigint, n bigint").groupBy("minimizer").agg(F.sum("n").alias("n"))
+
+
 def distinct_minimizers(df: DataFrame, key: str, seq: str, scheme: Scheme) -> DataFrame:
     """``key, minimizer``: the unambiguous minimizers of each row, distinct per row (of a very long one, per piece)."""
     source = df.select(F.col(key).alias(key), F.col(seq).alias("_s")).where("_s IS NOT NULL")

@@ -15,7 +15,7 @@ from cladeworks.functions.hashing import unsigned_at_least, with_hash
 from cladeworks.functions.kmers import Scheme
 from cladeworks.functions.translate import six_frames
 from cladeworks.operators import accessions, classify as cl, dust, index as ix, lineage, merge as mg, report as rp, taxonomy as tx
-from cladeworks.operators.tokens import distinct_minimizers, token_runs
+from cladeworks.operators.tokens import distinct_minimizers, lookup_counts, token_runs
 from cladeworks.plans.core_sql import ORACLES
 from cladeworks.session import Scratch, spread, table
 from cladeworks.sources.fastx import fasta_text, read_fastx
@@ -150,10 +150,13 @@ def _reads(spark: SparkSession, d: str) -> DataFrame:
     return _library(spark, d).select(F.col("seq_no").alias("read_id"), F.lit(0).alias("mate"), "seq")
 
 
-def _taxa(spark: SparkSession, d: str, taxonomy: DataFrame, where: str = "true") -> DataFrame:
+def _headers_and_map(spark: SparkSession, d: str, where: str = "true") -> tuple[DataFrame, DataFrame]:
     m = table(spark, d, "seqid2taxid").where(where).where("seqid IS NOT NULL").select(F.trim("seqid").alias("seqid"), "taxid", F.col("map_id").alias("line"))
-    headers = table(spark, d, "library").select("seq_no", "header").where("header IS NOT NULL")
-    return ix.sequence_taxa(headers, m, taxonomy, "seq_no", "header")
+    return table(spark, d, "library").select("seq_no", "header").where("header IS NOT NULL"), m
+
+
+def _taxa(spark: SparkSession, d: str, taxonomy: DataFrame, where: str = "true") -> DataFrame:
+    return ix.sequence_taxa(*_headers_and_map(spark, d, where), taxonomy, "seq_no", "header")
 
 
 def _index(spark: SparkSession, d: str, taxonomy: DataFrame, scheme: Scheme = SMALL, where: str = "true", **options) -> DataFrame:
@@ -314,10 +317,16 @@ def run_statistics(spark: SparkSession, d: str) -> DataFrame:
     return cl.run_statistics(_reads(spark, d), calls)
 
 
+def _hits(spark: SparkSession, d: str, taxonomy: DataFrame) -> DataFrame:
+    """``minimizer, n, lo, hi`` of the minimizers that the reads look up and the index has."""
+    places = ix.sequence_places(*_headers_and_map(spark, d), taxonomy, "seq_no", "header")
+    ends = ix.index_ends(_library(spark, d).select("seq_no", "seq"), places, SMALL, key="seq_no")
+    return lookup_counts(_reads(spark, d), SMALL).join(ends, "minimizer")
+
+
 def kmer_counters(spark: SparkSession, d: str) -> DataFrame:
     t = _taxonomy(spark, d)
-    found = cl.lookup(token_runs(_reads(spark, d), SMALL), _index(spark, d, t))
-    return rp.minimizer_counts(found, t)
+    return rp.hit_counts(_hits(spark, d, t), t)
 
 
 def kmer_sketches(spark: SparkSession, d: str) -> DataFrame:
