@@ -132,6 +132,13 @@ def minimizer_sketches(found: DataFrame, bits: int = 12) -> DataFrame:
     return s.withColumn("estimate", F.hll_sketch_estimate("sketch"))
 
 
+def hit_sketches(hits: DataFrame, taxonomy: DataFrame, bits: int = 12) -> DataFrame:
+    """``minimizer_sketches`` from a row per minimizer as in ``hit_counts``: sketches by ends, united per taxon."""
+    groups = hits.groupBy("lo", "hi").agg(F.hll_sketch_agg("minimizer", bits).alias("sketch"))
+    united = _per_taxon(groups, ["sketch"], taxonomy).groupBy("tax_id").agg(F.hll_union_agg("sketch").alias("sketch"))
+    return united.withColumn("estimate", F.hll_sketch_estimate("sketch"))
+
+
 def clade_sketches(sketches: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """``tax_id, sketch, estimate`` over clades: the taxa's sketches united up their paths, no minimizer counted again."""
     up = sketches.join(taxonomy.select("tax_id", "path"), "tax_id").select(F.explode("path").alias("tax_id"), "sketch")

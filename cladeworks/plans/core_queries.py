@@ -331,8 +331,7 @@ def kmer_counters(spark: SparkSession, d: str) -> DataFrame:
 
 def kmer_sketches(spark: SparkSession, d: str) -> DataFrame:
     t = _taxonomy(spark, d)
-    found = cl.lookup(token_runs(_reads(spark, d), SMALL), _index(spark, d, t))
-    return rp.minimizer_sketches(found).select("tax_id", "estimate")
+    return rp.hit_sketches(_hits(spark, d, t), t).select("tax_id", "estimate")
 
 
 def merge_two_dbs(spark: SparkSession, d: str) -> DataFrame:

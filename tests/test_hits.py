@@ -84,3 +84,17 @@ def test_kmer_counters_leave_the_tree_where_it_is(spark, monkeypatch):
     for module in (tr, tx, cl):
         monkeypatch.setattr(module, "small_tree", _no_tree)
     assert core_queries.kmer_counters(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_hit_sketches_against_runs(tables, forest):
+    want = _sorted(rp.minimizer_sketches(_found(tables, forest)).select("tax_id", "estimate"))
+    got = rp.hit_sketches(_hits(tables, forest), forest)
+    assert _sorted(got.select("tax_id", "estimate")) == want and want
+    own = rp.hit_counts(_hits(tables, forest), forest).where("distinct_minimizers > 0")
+    assert _sorted(own.select("tax_id", "distinct_minimizers")) == want  # so few are told exactly
+
+
+def test_kmer_sketches_leave_the_tree_where_it_is(spark, monkeypatch):
+    for module in (tr, tx, cl):
+        monkeypatch.setattr(module, "small_tree", _no_tree)
+    assert core_queries.kmer_sketches(spark, "/root/testdata/sf0.001").count() > 0
