@@ -321,7 +321,8 @@ def _hits(spark: SparkSession, d: str, taxonomy: DataFrame) -> DataFrame:
     """``minimizer, n, lo, hi`` of the minimizers that the reads look up and the index has."""
     places = ix.sequence_places(*_headers_and_map(spark, d), taxonomy, "seq_no", "header")
     ends = ix.index_ends(_library(spark, d).select("seq_no", "seq"), places, SMALL, key="seq_no")
-    return lookup_counts(_reads(spark, d), SMALL).join(ends, "minimizer")
+    # both sides lie by minimizer already; by the scan's size a planner takes either for small and builds it on the driver
+    return lookup_counts(_reads(spark, d), SMALL).hint("merge").join(ends, "minimizer")
 
 
 def kmer_counters(spark: SparkSession, d: str) -> DataFrame:

@@ -98,3 +98,9 @@ def test_kmer_sketches_leave_the_tree_where_it_is(spark, monkeypatch):
     for module in (tr, tx, cl):
         monkeypatch.setattr(module, "small_tree", _no_tree)
     assert core_queries.kmer_sketches(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_look_ups_are_not_broadcast(spark):
+    d = "/root/testdata/sf0.001"
+    plan = core_queries._hits(spark, d, core_queries._taxonomy(spark, d))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [minimizer" in plan and "BroadcastHashJoin [minimizer" not in plan
